@@ -1,9 +1,11 @@
 """Queries of the training-data operators, and the SQL of those that SQL can express."""
 
+from tidelog.llm.media import op8_media
 from tidelog.llm.mixing import op7_mixing
+from tidelog.llm.pieces import op1_sentencepiece
 from tidelog.llm.quality import op10_quality
 from tidelog.llm.toxicity import op5_toxicity
 from tidelog.llm.urls import SQL_URLS, op4_url_filter
 
-QUERIES = {f.__name__: f for f in (op4_url_filter, op5_toxicity, op7_mixing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op4_url_filter, op5_toxicity, op7_mixing, op8_media, op10_quality)}
 SQL = {"op4_url_filter": SQL_URLS}
