@@ -23,6 +23,7 @@ and content get the same samples.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -115,16 +116,11 @@ def units(text: str) -> list[str]:
     """Cuts before each run of spaces that follows something else."""
     if not text:
         return []
-    parts = text.split(SPACE)
-    out, lead = [], 0
-    for p in parts[1:]:
-        lead += 1
-        if p:
-            out.append(SPACE * lead + p)
-            lead = 0
-    if lead:
-        out.append(SPACE * lead)
-    return out
+    return UNIT.findall(text)
+
+
+#: A unit is a run of spaces with what follows it.
+UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
 class Lattices:
@@ -134,32 +130,45 @@ class Lattices:
     made for all units together; each unit's numbers depend on it alone.
     """
 
-    ARRAYS = ("to", "piece", "logp", "rest", "cum", "start", "count")
-
-    def __init__(self, vocab: Vocabulary, texts: list[list[str]], known: Lattices | None = None) -> None:
-        """``known``: lattices made before, to which the units not in it are added."""
-        first = known.first if known else {}
-        names = sorted(set().union(*texts).difference(first)) if texts else []
-        self.make(vocab, names)
-        lengths = np.fromiter(map(len, names), np.int64, len(names))
-        begin = np.cumsum(lengths) - lengths
-        if known:
-            nodes, arcs = len(known.start), len(known.to)
-            begin = begin + nodes
-            self.to[self.to >= 0] += nodes
-            self.start += arcs
-            for a in self.ARRAYS:
-                setattr(self, a, np.concatenate([getattr(known, a), getattr(self, a)]))
-        self.first = {**first, **dict(zip(names, begin.tolist(), strict=True))}
-        self.node = np.fromiter(map(self.first.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
-        self.length = np.fromiter(map(len, chain.from_iterable(texts)), np.int64, len(self.node))
-
-    def make(self, vocab: Vocabulary, names: list[str]) -> None:
-        chars = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32).astype(np.int64)
+    ARCS = {"to": np.int32, "piece": np.int32, "logp": np.float64, "rest": np.float32, "cum": np.float32}
+    NODES = {"start": np.int32, "count": np.int32, "length": np.int32}
+
+    def __init__(self) -> None:
+        self.first: dict[str, int] = {}
+        self.nodes = self.arcs = 0
+        for kind, t in {**self.ARCS, **self.NODES}.items():
+            setattr(self, kind, np.zeros(0, t))
+
+    def room(self, kinds: dict, n: int) -> None:
+        for kind, t in kinds.items():
+            old = getattr(self, kind)
+            if len(old) < n:
+                new = np.zeros(n + n // 4, t)
+                new[: len(old)] = old
+                setattr(self, kind, new)
+
+    def of(self, vocab: Vocabulary, texts: list[list[str]], keep: int) -> np.ndarray:
+        """First nodes of the units of texts, made where they aren't known; new ones are kept while there are under ``keep`` arcs."""
+        names = sorted(set().union(*texts).difference(self.first)) if texts else []
         lengths = np.fromiter(map(len, names), np.int64, len(names))
+        begin = np.cumsum(lengths) - lengths + self.nodes
+        arcs, nodes = self.make(vocab, names, lengths)
+        self.length[begin] = lengths
+        self.first.update(zip(names, begin.tolist(), strict=True))
+        out = np.fromiter(map(self.first.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+        if self.arcs < keep:
+            self.arcs, self.nodes = arcs, nodes
+        else:
+            for u in names:
+                del self.first[u]
+        return out
+
+    def make(self, vocab: Vocabulary, names: list[str], lengths: np.ndarray) -> tuple[int, int]:
+        """Writes the units behind those that are kept; the numbers of arcs and nodes with them."""
+        chars = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32).astype(np.int32)
         ends = np.cumsum(lengths)
-        end = np.repeat(ends, lengths)
-        src, to, self.piece, weight = self.match(vocab, chars, end)
+        end = np.repeat(ends, lengths).astype(np.int32)
+        src, to, piece, weight = self.match(vocab, chars, end)
         best = np.zeros(len(chars) + 1)
         last = to == end[src]
         goal = np.where(last, len(chars), to)
@@ -177,28 +186,34 @@ class Lattices:
             whole = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, n)), at))
             best[from_[at]] = whole
             value[i] = v - np.repeat(whole, n)
-        self.to, self.logp = np.where(last, -1, to), value
-        self.count = np.bincount(src, minlength=len(chars))
-        run = np.cumsum(self.count)
-        self.start = run - self.count
+        count = np.bincount(src, minlength=len(chars))
+        run = np.cumsum(count)
+        start = run - count
         p = np.exp(value)
-        self.rest, self.cum = np.full(len(src), NEG), p.copy()
+        rest, cum = np.full(len(src), NEG), p.copy()
         if len(src):
-            place = (np.arange(len(src), dtype=np.int32) - self.start[src].astype(np.int32)).astype(np.int8)
-            for k in range(1, int(self.count.max())):  # within a node, a place at a time, so that sums don't depend on other nodes
+            place = (np.arange(len(src), dtype=np.int32) - start[src].astype(np.int32)).astype(np.int8)
+            for k in range(1, int(count.max())):  # within a node, a place at a time, so that sums don't depend on other nodes
                 i = np.flatnonzero(place == k)
-                self.cum[i] += self.cum[i - 1]
-            self.cum[run - 1] = 2.0  # the last arc takes all that is left
-            many = np.flatnonzero(self.count[src] > 1)
+                cum[i] += cum[i - 1]
+            cum[run - 1] = 2.0  # the last arc takes all that is left
+            many = np.flatnonzero(count[src] > 1)
             likely = p > 0.5  # what the others share, without cancellation
-            low = np.add.reduceat(np.where(likely, 0.0, p), self.start)[src[many]]
+            low = np.add.reduceat(np.where(likely, 0.0, p), start)[src[many]]
             with np.errstate(divide="ignore"):
-                self.rest[many] = np.log(np.where(likely[many], low, np.maximum(1.0 - p[many], 0.0)))
+                rest[many] = np.log(np.where(likely[many], low, np.maximum(1.0 - p[many], 0.0)))
+        a, n = self.arcs + len(src), self.nodes + len(chars)
+        self.room(self.ARCS, a)
+        self.room(self.NODES, n)
+        here, nodes = slice(self.arcs, a), slice(self.nodes, n)
+        self.to[here], self.piece[here], self.logp[here], self.rest[here], self.cum[here] = np.where(last, -1, to + self.nodes), piece, value, rest, cum
+        self.start[nodes], self.count[nodes] = start + self.arcs, count
+        return a, n
 
     @staticmethod
     def match(vocab: Vocabulary, chars: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
         """Arcs (source, target, piece, weight) of every piece at every place; characters without a piece become bytes."""
-        at = np.arange(len(chars))
+        at = np.arange(len(chars), dtype=np.int32)
         h = np.zeros(len(chars), U64)
         found = []
         base = U64(BASE)
@@ -222,7 +237,7 @@ class Lattices:
         size = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
         found.append((lone, lone + 1, -c - 1, size * vocab.byte_score))
         src, *rest = (np.concatenate(x) for x in zip(*found[::-1], strict=True))
-        order = np.argsort(src.astype(np.int32), kind="stable")  # by place, the longest piece first
+        order = np.argsort(src, kind="stable")  # by place, the longest piece first
         return src[order], *(x[order] for x in rest)
 
 
@@ -267,20 +282,23 @@ def truncated(phi: np.ndarray, top: np.ndarray | float, u: np.ndarray) -> np.nda
 class Path:
     """A sampled path: its arcs, and the open sets that branch off it from ``turn`` on."""
 
-    __slots__ = ("arcs", "logp", "score", "open", "phi", "unit", "shut", "turn")
+    __slots__ = ("arcs", "logp", "score", "open", "phi", "unit", "shut", "turn", "before")
 
 
 class Sampler:
     """Perturbed A* over the texts of a batch: paths are walked for all texts at once, agendas are per text."""
 
-    def __init__(self, vocab: Vocabulary, texts: list[str], keys: list[int], k: int, seed: int, known: Lattices | None = None) -> None:
-        self.vocab, self.k = vocab, k
+    def __init__(self, vocab: Vocabulary, texts: list[str], keys: list[int], k: int, seed: int, lat: Lattices | None = None) -> None:
+        """``lat``: lattices of units that earlier batches have made; which they are doesn't change results."""
+        self.vocab, self.k, self.lat = vocab, k, lat or Lattices()
         parts = [units(normalise(t)) for t in texts]
-        self.lat = Lattices(vocab, parts, known)
+        self.node = self.lat.of(vocab, parts, KNOWN_ARCS)
         self.counts = np.array([len(p) for p in parts], np.int64)
         self.begin = np.cumsum(self.counts) - self.counts
         self.key = mix64(np.array([x & (2**64 - 1) for x in keys], U64) ^ mix64(np.full(len(keys), seed, U64)))
-        done = np.cumsum(self.lat.length) - self.lat.length
+        self.roots = -np.log(-np.log(uniform(self.key, np.full(len(keys), -2))))
+        length = self.lat.length[self.node]
+        done = np.cumsum(length) - length
         owner = np.repeat(np.arange(len(texts)), self.counts)
         self.place = done - done[self.begin[owner]] if len(owner) else done
         self.owner, self.local = owner, np.arange(len(owner)) - self.begin[owner]
@@ -289,16 +307,17 @@ class Sampler:
         """For each text its samples: (arcs, logp, perturbed score, inclusion), best first."""
         paths: list[list[Path]] = [[] for _ in self.counts]
         turns: list[tuple] = [(d, None) for d in range(len(paths))]
-        job = self.owner, self.local, self.lat.node, self.place
+        job = self.owner, self.local, self.node, self.place
         for r in range(self.k):
             salt = mix64(self.key + U64((2 * r + 1) * int(GOLDEN) & (2**64 - 1)))
             unit, arc = walk(self.lat, job[2], salt[job[0]], job[3])
             doc, local = job[0][unit], job[1][unit]
             which = [d for d, _ in turns]
             lo, hi = np.searchsorted(doc, which), np.searchsorted(doc, which, side="right")
-            side = mix64(salt ^ U64(0x5851F42D4C957F2D))
-            for (d, turn), a, b in zip(turns, lo.tolist(), hi.tolist(), strict=True):
-                paths[d].append(self.path(d, turn, arc[a:b], local[a:b], side[d : d + 1]))
+            fresh = [self.path(d, turn, arc[a:b], local[a:b]) for (d, turn), a, b in zip(turns, lo.tolist(), hi.tolist(), strict=True)]
+            self.open_sets(fresh, which, mix64(salt ^ U64(0x5851F42D4C957F2D)))
+            for d, p in zip(which, fresh, strict=True):
+                paths[d].append(p)
             if r + 1 == self.k:
                 break
             pick = mix64(salt ^ U64(0x2545F4914F6CDD1D))
@@ -308,25 +327,40 @@ class Sampler:
             job = self.suffixes(turns)
         return [self.emit(ps) for ps in paths]
 
-    def path(self, d: int, turn: tuple | None, tail: np.ndarray, local: np.ndarray, side: np.ndarray) -> Path:
-        lat, p = self.lat, Path()
+    def path(self, d: int, turn: tuple | None, tail: np.ndarray, local: np.ndarray) -> Path:
+        p = Path()
         if turn is None:
-            p.arcs, p.unit, p.turn, p.shut = tail, local, 0, ()
-            p.score = float(-np.log(-np.log(uniform(self.key[d : d + 1], np.array([-2]))[0])))
+            p.arcs, p.unit, p.turn, p.shut, p.before = tail, local, 0, (), 0.0
+            p.score = float(self.roots[d])
         else:
             parent, p.turn, p.score, chosen, p.shut = turn
             p.arcs = np.concatenate([parent.arcs[: p.turn], [chosen], tail])
             p.unit = np.concatenate([parent.unit[: p.turn + 1], local])
-        logs = lat.logp[p.arcs]
-        run = np.cumsum(logs)
-        p.logp = float(run[-1]) if len(run) else 0.0
-        rest = lat.rest[p.arcs[p.turn :]]
-        if p.shut:
-            rest[0] = self.left(self.node_of(p, p.turn, d), {*p.shut, int(p.arcs[p.turn])})
-        phi = (run - logs)[p.turn :] + rest
-        p.open = truncated(phi, p.score, uniform(np.repeat(side, len(phi)), np.arange(p.turn, p.turn + len(phi))))
+            p.before = float(parent.phi[p.turn - parent.turn])
         return p
 
+    def open_sets(self, paths: list[Path], which: list[int], side: np.ndarray) -> None:
+        """The siblings of every step from the turn on, with their Gumbels: of all paths at once, but for sums along a path."""
+        n = np.array([len(p.arcs) - p.turn for p in paths], np.int64)
+        end = np.cumsum(n)
+        arcs = np.concatenate([p.arcs[p.turn :] for p in paths]) if paths else np.zeros(0, np.int64)
+        logs, rest = self.lat.logp[arcs], self.lat.rest[arcs].astype(float)
+        lead = np.empty(len(arcs))
+        for p, e, m, d in zip(paths, end.tolist(), n.tolist(), which, strict=True):
+            if not m:
+                p.logp = p.before
+                continue
+            run = np.cumsum(logs[e - m : e])
+            p.logp = p.before + float(run[-1])
+            lead[e - m] = p.before
+            lead[e - m + 1 : e] = run[:-1] + p.before
+            if p.shut:
+                rest[e - m] = self.left(self.node_of(p, p.turn, d), {*p.shut, int(p.arcs[p.turn])})
+        place = np.arange(len(arcs)) - np.repeat(end - n - np.array([p.turn for p in paths], np.int64), n)
+        found = truncated(lead + rest, np.repeat([p.score for p in paths], n), uniform(np.repeat(side[which], n), place))
+        for p, e, m in zip(paths, end.tolist(), n.tolist(), strict=True):
+            p.open, p.phi = found[e - m : e], lead[e - m : e]
+
     def turn(self, d: int, paths: list[Path], pick: np.ndarray) -> tuple | None:
         """The best open set of a text, and the arc by which the next path leaves."""
         score, j = max(((float(p.open.max()), -j) for j, p in enumerate(paths) if len(p.open)), default=(NEG, 0))
@@ -346,9 +380,9 @@ class Sampler:
         for d, (p, i, _, chosen, _) in turns:
             u, begin, end = int(p.unit[i]), int(self.begin[d]), int(self.begin[d] + self.counts[d])
             if (nxt := int(self.lat.to[chosen])) >= 0:
-                out.append((np.array([d]), np.array([u]), np.array([nxt]), self.place[begin + u : begin + u + 1] + (nxt - self.lat.node[begin + u])))
+                out.append((np.array([d]), np.array([u]), np.array([nxt]), self.place[begin + u : begin + u + 1] + (nxt - self.node[begin + u])))
             s = slice(begin + u + 1, end)
-            out.append((self.owner[s], self.local[s], self.lat.node[s], self.place[s]))
+            out.append((self.owner[s], self.local[s], self.node[s], self.place[s]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def emit(self, paths: list[Path]) -> list[tuple[np.ndarray, float, float, float]]:
@@ -382,7 +416,7 @@ class Sampler:
         """The node from which step i of a path leaves."""
         if i and p.unit[i] == p.unit[i - 1]:
             return int(self.lat.to[p.arcs[i - 1]])
-        return int(self.lat.node[self.begin[d] + p.unit[i]])
+        return int(self.node[self.begin[d] + p.unit[i]])
 
     def others(self, node: int, shut: set[int]) -> list[tuple[int, float]]:
         s = int(self.lat.start[node])
@@ -410,7 +444,7 @@ def decode_ids(vocab: Vocabulary, ids: list[int] | np.ndarray) -> str:
 
 
 #: Lattices of units are kept from one batch of a task to the next up to about so many arcs.
-KNOWN_ARCS = 4_000_000
+KNOWN_ARCS = 5_000_000
 
 SAMPLE = T.StructType([T.StructField(n, t) for n, t in (("_sample", T.IntegerType()), ("_ids", T.ArrayType(T.IntegerType())), ("_logp", T.DoubleType()), ("_score", T.DoubleType()), ("_inclusion", T.DoubleType()), ("_round_trip", T.BooleanType()))])
 
@@ -434,15 +468,13 @@ def encode(docs: DataFrame, carry: list[str] | None = None, text: str = "text",
     kept = [f"_c{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, known = vocabulary(model, temperature), None
+        vocab, known = vocabulary(model, temperature), Lattices()
         for batch in batches:
             whole = [x or "" for x in batch.column("_t").to_pylist()]
             keys = [x or 0 for x in batch.column("_k").to_pylist()]
             for s in slices(whole):
                 texts = whole[s]
                 sampler = Sampler(vocab, texts, keys[s], k, seed, known)
-                if known is None or len(sampler.lat.to) < KNOWN_ARCS:
-                    known = sampler.lat
                 rows = [(i, j, *x) for i, got in enumerate(sampler.run()) for j, x in enumerate(got)]
                 rows = [(r[0], r[1], ids, *r[3:]) for r, ids in zip(rows, sampler.ids([r[2] for r in rows]), strict=True)]
                 back = [decode_ids(vocab, r[2]) == texts[r[0]].replace(SPACE, " ") for r in rows]
