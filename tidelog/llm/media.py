@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.llm import jpeg
-from tidelog.llm.shared import small_batches
+from tidelog.llm.shared import slices, small_batches
 
 UNIT = 64
+SLICE = 4 << 20  # bytes that are coded at a time
 
 
 def padded(size: int) -> int:
@@ -78,17 +79,6 @@ def feature(x: np.ndarray) -> str:
     return f"{x.shape[1]}x{x.shape[0]};{sums[0]};{sums[1]};{sums[2]};{zlib.crc32(x):08x}"
 
 
-def slices(sizes: list[int], most: int = 4 << 20) -> Iterator[slice]:
-    at, total = 0, 0
-    for i, n in enumerate(sizes):
-        total += n
-        if total >= most:
-            yield slice(at, i + 1)
-            at, total = i + 1, 0
-    if at < len(sizes):
-        yield slice(at, len(sizes))
-
-
 def _over(docs: DataFrame, column: str, carry: list[str], fields: list[T.StructField], work) -> DataFrame:
     """``carry`` and what ``work`` makes of the column's bytes, a bounded number of bytes at a time."""
     small_batches(docs.sparkSession)
@@ -97,7 +87,7 @@ def _over(docs: DataFrame, column: str, carry: list[str], fields: list[T.StructF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [x or b"" for x in batch.column("_t").to_pylist()]
-            for s in slices([len(x) for x in raw]):
+            for s in slices([len(x) for x in raw], SLICE):
                 part = batch.slice(s.start, s.stop - s.start)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *work(raw[s])], [*kept, *(f.name for f in fields)])
 

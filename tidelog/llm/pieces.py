@@ -26,7 +26,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.shared import GOLDEN, U64, mix64, small_batches
+from tidelog.llm.shared import GOLDEN, U64, mix64, slices, small_batches
 
 SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -76,6 +76,9 @@ class Vocabulary:
         self.starts = np.array(sorted(starts), U64)
         self.start_piece = np.array([ends.get(int(h), (-1, 0.0))[0] for h in self.starts], np.int64)
         self.start_weight = np.array([ends.get(int(h), (-1, 0.0))[1] for h in self.starts], float)
+        self.width = np.array([len(t) for t in self.text])
+        self.offset = np.cumsum(self.width) - self.width
+        self.bytes = np.frombuffer(b"".join(self.text), np.uint8)
         slot = (self.starts * GOLDEN >> U64(43)).astype(np.int64)
         self.slots = np.full(1 << 21, -1, np.int32)  # -1: none; -2: more than one, to be searched
         self.slots[slot] = np.arange(len(slot))
@@ -131,7 +134,7 @@ class Lattices:
     """
 
     ARCS = {"to": np.int32, "piece": np.int32, "logp": np.float64, "rest": np.float32, "cum": np.float32}
-    NODES = {"start": np.int32, "count": np.int32, "length": np.int32}
+    NODES = {"pair": np.int64, "length": np.int32}  # pair: first arc, and the number of arcs after it in the lowest 6 bits
 
     def __init__(self) -> None:
         self.first: dict[str, int] = {}
@@ -149,18 +152,21 @@ class Lattices:
 
     def of(self, vocab: Vocabulary, texts: list[list[str]], keep: int) -> np.ndarray:
         """First nodes of the units of texts, made where they aren't known; new ones are kept while there are under ``keep`` arcs."""
-        names = sorted(set().union(*texts).difference(self.first)) if texts else []
+        flat = list(chain.from_iterable(texts))
+        out = np.fromiter(map(self.first.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(out < 0)
+        absent = [flat[i] for i in missing.tolist()]
+        fresh: dict[str, int] = dict.fromkeys(absent)
+        names = list(fresh)
         lengths = np.fromiter(map(len, names), np.int64, len(names))
         begin = np.cumsum(lengths) - lengths + self.nodes
         arcs, nodes = self.make(vocab, names, lengths)
         self.length[begin] = lengths
-        self.first.update(zip(names, begin.tolist(), strict=True))
-        out = np.fromiter(map(self.first.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+        fresh = dict(zip(names, begin.tolist(), strict=True))
+        out[missing] = np.fromiter(map(fresh.__getitem__, absent), np.int64, len(absent))
         if self.arcs < keep:
+            self.first.update(fresh)
             self.arcs, self.nodes = arcs, nodes
-        else:
-            for u in names:
-                del self.first[u]
         return out
 
     def make(self, vocab: Vocabulary, names: list[str], lengths: np.ndarray) -> tuple[int, int]:
@@ -207,7 +213,7 @@ class Lattices:
         self.room(self.NODES, n)
         here, nodes = slice(self.arcs, a), slice(self.nodes, n)
         self.to[here], self.piece[here], self.logp[here], self.rest[here], self.cum[here] = np.where(last, -1, to + self.nodes), piece, value, rest, cum
-        self.start[nodes], self.count[nodes] = start + self.arcs, count
+        self.pair[nodes] = (start + self.arcs) << 6 | (count - 1)
         return a, n
 
     @staticmethod
@@ -254,8 +260,9 @@ def walk(lat: Lattices, node: np.ndarray, key: np.ndarray, place: np.ndarray) ->
     alive, at, step = np.arange(len(node)), node, 0
     out_unit, out_arc = [], []
     while len(alive):
-        arc = lat.start[at]
-        open_ = np.flatnonzero(lat.count[at] > 1)
+        both = lat.pair[at]
+        arc = both >> 6
+        open_ = np.flatnonzero(both & 63)
         u = uniform(key[alive[open_]], place[alive[open_]] + step) if len(open_) else None
         while len(open_):
             more = u > lat.cum[arc[open_]]
@@ -266,11 +273,14 @@ def walk(lat: Lattices, node: np.ndarray, key: np.ndarray, place: np.ndarray) ->
         at = lat.to[arc]
         go = at >= 0
         alive, at, step = alive[go], at[go], step + 1
-    if not out_unit:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    unit, arc = np.concatenate(out_unit), np.concatenate(out_arc)
-    order = np.argsort(unit, kind="stable")
-    return unit[order], arc[order]
+    steps = np.zeros(len(node), np.int32)
+    for alive in out_unit:
+        steps[alive] += 1
+    begin = np.cumsum(steps) - steps
+    arcs = np.empty(int(steps.sum()), np.int64)
+    for i, (alive, arc) in enumerate(zip(out_unit, out_arc, strict=True)):
+        arcs[begin[alive] + i] = arc
+    return np.repeat(np.arange(len(node)), steps), arcs
 
 
 def truncated(phi: np.ndarray, top: np.ndarray | float, u: np.ndarray) -> np.ndarray:
@@ -357,7 +367,14 @@ class Sampler:
             if p.shut:
                 rest[e - m] = self.left(self.node_of(p, p.turn, d), {*p.shut, int(p.arcs[p.turn])})
         place = np.arange(len(arcs)) - np.repeat(end - n - np.array([p.turn for p in paths], np.int64), n)
-        found = truncated(lead + rest, np.repeat([p.score for p in paths], n), uniform(np.repeat(side[which], n), place))
+        # a set less likely than e^-60 of a path's likeliest one cannot be told from none in double precision
+        phi = lead + rest
+        found = np.full(len(phi), NEG)
+        some = np.flatnonzero(n)
+        if len(some):
+            near = np.flatnonzero(phi > np.repeat(np.maximum.reduceat(phi, (end - n)[some]) - 60.0, n[some]))
+            by = np.repeat(np.arange(len(paths)), n)[near]
+            found[near] = truncated(phi[near], np.array([p.score for p in paths])[by], uniform(side[which][by], place[near]))
         for p, e, m in zip(paths, end.tolist(), n.tolist(), strict=True):
             p.open, p.phi = found[e - m : e], lead[e - m : e]
 
@@ -390,12 +407,10 @@ class Sampler:
         inclusion = lambda p: 1.0 if kappa == NEG else float(-np.expm1(-np.exp(min(700.0, p.logp - kappa))))
         return [(p.arcs, p.logp, p.score, inclusion(p)) for p in sorted(paths, key=lambda p: -p.score)]
 
-    def ids(self, paths: list[np.ndarray]) -> list[np.ndarray]:
-        """Ids of paths; characters without a piece are written as their bytes."""
-        if not paths:
-            return []
-        piece = self.lat.piece[np.concatenate(paths)]
-        ends = np.cumsum([len(x) for x in paths])
+    def ids(self, paths: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of paths, one after the other, and where each ends; characters without a piece are written as their bytes."""
+        piece = self.lat.piece[np.concatenate(paths)] if paths else np.zeros(0, np.int32)
+        ends = np.cumsum([len(x) for x in paths], dtype=np.int64)
         bare = np.flatnonzero(piece < 0)
         if len(bare):
             codes, back = np.unique(piece[bare], return_inverse=True)
@@ -404,13 +419,12 @@ class Sampler:
             size[bare] = np.array([len(x) for x in spelt])[back]
             to = np.cumsum(size)
             out = np.repeat(piece, size)
-            longest = max(map(len, spelt))
-            for j in range(longest):
+            for j in range(max(map(len, spelt))):
                 jth = np.array([x[j] if j < len(x) else -1 for x in spelt])[back]
                 has = jth >= 0
                 out[(to - size)[bare][has] + j] = jth[has]
             ends, piece = np.r_[0, to][ends], out
-        return np.split(piece.astype(np.int32), ends[:-1])
+        return piece, ends
 
     def node_of(self, p: Path, i: int, d: int) -> int:
         """The node from which step i of a path leaves."""
@@ -419,8 +433,8 @@ class Sampler:
         return int(self.node[self.begin[d] + p.unit[i]])
 
     def others(self, node: int, shut: set[int]) -> list[tuple[int, float]]:
-        s = int(self.lat.start[node])
-        return [(a, float(self.lat.logp[a])) for a in range(s, s + int(self.lat.count[node])) if a not in shut]
+        s, more = divmod(int(self.lat.pair[node]), 64)
+        return [(a, float(self.lat.logp[a])) for a in range(s, s + more + 1) if a not in shut]
 
     def left(self, node: int, shut: set[int]) -> float:
         return float(np.logaddexp.reduce(ws)) if (ws := [w for _, w in self.others(node, shut)]) else NEG
@@ -437,28 +451,57 @@ class Sampler:
         return arcs[-1][0]
 
 
+def decode_bytes(vocab: Vocabulary, ids: np.ndarray) -> np.ndarray:
+    """UTF-8 of ids, the space in front still there."""
+    width = vocab.width[ids]
+    end = np.cumsum(width)
+    return vocab.bytes[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(vocab.offset[ids] - (end - width), width)]
+
+
+def round_trips(vocab: Vocabulary, ids: np.ndarray, ends: np.ndarray, texts: list[str]) -> list[bool]:
+    """Whether each run of ids decodes to its text: all are decoded in one go, and compared byte by byte."""
+    wanted = [(" " + t.replace(SPACE, " ")).encode() if t else b"" for t in texts]
+    size = np.diff(np.r_[0, np.cumsum(vocab.width[ids])][np.r_[0, ends]]) if len(ids) else np.zeros(len(texts), np.int64)
+    same = size == np.array([len(w) for w in wanted], np.int64)
+    got = decode_bytes(vocab, ids)
+    if same.all():
+        goal = np.frombuffer(b"".join(wanted), np.uint8)
+        some = np.flatnonzero(size)
+        if len(some):
+            same[some] = np.logical_and.reduceat(got == goal, (np.cumsum(size) - size)[some])
+        return same.tolist()
+    raw, to = got.tobytes(), np.cumsum(size).tolist()
+    return [raw[e - n : e] == w for e, n, w in zip(to, size.tolist(), wanted, strict=True)]
+
+
 def decode_ids(vocab: Vocabulary, ids: list[int] | np.ndarray) -> str:
     """The text of ids; the space in front goes."""
-    text = b"".join(map(vocab.text.__getitem__, ids if isinstance(ids, list) else ids.tolist())).decode("utf-8", "replace")
+    text = decode_bytes(vocab, np.asarray(ids, np.int64)).tobytes().decode("utf-8", "replace")
     return text[1:] if text.startswith(" ") else text
 
 
 #: Lattices of units are kept from one batch of a task to the next up to about so many arcs.
-KNOWN_ARCS = 5_000_000
+KNOWN_ARCS = 4_000_000
+SLICE = 1 << 20  # characters that are sampled at a time
 
 SAMPLE = T.StructType([T.StructField(n, t) for n, t in (("_sample", T.IntegerType()), ("_ids", T.ArrayType(T.IntegerType())), ("_logp", T.DoubleType()), ("_score", T.DoubleType()), ("_inclusion", T.DoubleType()), ("_round_trip", T.BooleanType()))])
 
 
-def slices(texts: list[str], most: int = 3 << 20) -> Iterator[slice]:
-    """Runs of texts of about ``most`` characters."""
-    at, total = 0, 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= most:
-            yield slice(at, i + 1)
-            at, total = i + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
+def _encode(batches: Iterator[pa.RecordBatch], kept: list[str], model: str, temperature: float, k: int, seed: int) -> Iterator[pa.RecordBatch]:
+    vocab, known = vocabulary(model, temperature), Lattices()
+    for batch in batches:
+        whole = [x or "" for x in batch.column("_t").to_pylist()]
+        keys = [x or 0 for x in batch.column("_k").to_pylist()]
+        for s in slices([len(t) for t in whole], SLICE):
+            texts = whole[s]
+            sampler = Sampler(vocab, texts, keys[s], k, seed, known)
+            rows = [(i, j, *x) for i, got in enumerate(sampler.run()) for j, x in enumerate(got)]
+            flat, ends = sampler.ids([r[2] for r in rows])
+            back = round_trips(vocab, flat, ends, [texts[r[0]] for r in rows])
+            at = pa.array([s.start + r[0] for r in rows])
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(flat))
+            cols = [pa.array([r[1] + 1 for r in rows], pa.int32()), ids, *(pa.array(np.round([r[c] for r in rows], 9)) for c in (3, 4)), pa.array([float(f"{r[5]:.9g}") for r in rows]), pa.array(back)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in kept), *cols], [*kept, *SAMPLE.names])
 
 
 def encode(docs: DataFrame, carry: list[str] | None = None, text: str = "text", key: str = "doc_id", k: int = 2, seed: int = 11, temperature: float = 1.0, model: str = DEFAULT_MODEL) -> DataFrame:
@@ -467,25 +510,8 @@ def encode(docs: DataFrame, carry: list[str] | None = None, text: str = "text",
     carry = list(docs.columns if carry is None else carry)
     kept = [f"_c{i}" for i in range(len(carry))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, known = vocabulary(model, temperature), Lattices()
-        for batch in batches:
-            whole = [x or "" for x in batch.column("_t").to_pylist()]
-            keys = [x or 0 for x in batch.column("_k").to_pylist()]
-            for s in slices(whole):
-                texts = whole[s]
-                sampler = Sampler(vocab, texts, keys[s], k, seed, known)
-                rows = [(i, j, *x) for i, got in enumerate(sampler.run()) for j, x in enumerate(got)]
-                rows = [(r[0], r[1], ids, *r[3:]) for r, ids in zip(rows, sampler.ids([r[2] for r in rows]), strict=True)]
-                back = [decode_ids(vocab, r[2]) == texts[r[0]].replace(SPACE, " ") for r in rows]
-                at = pa.array([s.start + r[0] for r in rows])
-                ends = np.cumsum([0, *(len(r[2]) for r in rows)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([r[2] for r in rows])))
-                cols = [pa.array([r[1] + 1 for r in rows], pa.int32()), ids, *(pa.array(np.round([r[c] for r in rows], 9)) for c in (3, 4, 5)), pa.array(back)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in kept), *cols], [*kept, *SAMPLE.names])
-
     named = docs.select(*(F.col(c).alias(n) for n, c in zip(kept, carry, strict=True)), F.col(text).alias("_t"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("_k"))
-    out = named.mapInArrow(run, T.StructType([*named.schema.fields[:-2], *SAMPLE.fields]))
+    out = named.mapInArrow(lambda it: _encode(it, kept, model, temperature, k, seed), T.StructType([*named.schema.fields[:-2], *SAMPLE.fields]))
     return out.select(*(F.col(n).alias(c) for n, c in zip(kept, carry, strict=True)), *SAMPLE.names)
 
 

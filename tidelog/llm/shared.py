@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,29 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(sizes: list[int], most: int) -> Iterator[slice]:
+    """Runs of rows of about ``most`` together, one row at least."""
+    at, total = 0, 0
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= most:
+            yield slice(at, i + 1)
+            at, total = i + 1, 0
+    if at < len(sizes):
+        yield slice(at, len(sizes))
+
+
+def release() -> None:
+    """Gives freed memory back to the system, so that a worker that is used again doesn't keep its peak."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # only the GNU C library has it
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of 64-bit words (the splitmix64 finaliser)."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
