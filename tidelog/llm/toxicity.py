@@ -39,6 +39,7 @@ REPORTS = "said says say claimed wrote quoted called reported sagte sagt schrieb
 THREATS = "kill hurt destroy beat stab shoot töten umbringen verletzen schlagen tuer frapper blesser détruire matar golpear herir destruir".split()
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]")
+STEMS = (3, 4, 5, 6, 7)  # characters of the stems that are tried
 STOPS = frozenset(".!?;:\n")
 
 
@@ -158,7 +159,7 @@ class Scorer:
 
 def _features(text: str) -> set[str]:
     words = set(WORD.findall(text.lower())) - STOPS
-    return {f"w{w}" for w in words} | {f"s{w[:n]}" for w in words for n in (3, 4, 5) if len(w) > n}
+    return {f"w{w}" for w in words} | {f"s{w[:n]}" for w in words for n in STEMS if len(w) > n}
 
 
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +180,7 @@ def _cover(batches: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.string()))], ["hits"])
 
 
-def learn(texts: DataFrame, max_terms: int = 400, least: int = 3, ratio: float = 25.0, gain: float = 0.004) -> tuple[dict[str, float], dict[str, float], float]:
+def learn(texts: DataFrame, max_terms: int = 400, least: int = 3, ratio: float = 12.0, gain: float = 0.004) -> tuple[dict[str, float], dict[str, float], float]:
     """(text, label) rows, a bounded sample, to insult words and stems with their log-odds, and the base.
 
     Of at most ``max_terms`` telling terms, those are taken in turn that explain most toxic texts not
@@ -198,9 +199,16 @@ def learn(texts: DataFrame, max_terms: int = 400, least: int = 3, ratio: float =
     left = [[set(r.hits), 0] for r in toxic.mapInArrow(lambda it: _cover(it, list(weight)), "hits array<string>").collect()]
     support = {r.term: r.a for r in best}
     chosen: list[str] = []
-    for often in (1, 2):  # every text explained once, then again by widespread terms
+
+    def covers(c: str, x: str) -> bool:
+        """Whether a chosen term leaves nothing to another: stems of one line, and a word that nearly is its stem."""
+        if c[0] == "s":
+            return x[0] == "s" and (x.startswith(c) or c.startswith(x))
+        return x[0] == "s" and c[1:].startswith(x[1:]) and support[c] >= 0.8 * support[x]
+
+    for often in (1, 2, 3, 4):  # every text explained once, then again by widespread, telling terms
         while True:
-            count = Counter(x for hits, n in left if n < often for x in hits if (often == 1 or support[x] >= 0.05 * one) and not any(x.startswith(c) or c.startswith(x) for c in chosen if c[0] == "s"))
+            count = Counter(x for hits, n in left if n < often for x in hits if (often == 1 or support[x] >= 0.03 * one and weight[x] > 5) and not any(covers(c, x) for c in chosen))
             # ties: words before stems, and the longer stem, which is the safer one
             term = max(count, key=lambda x: (count[x] * weight[x], x[0] == "w", len(x), x), default=None)
             if term is None or count[term] < max(2, gain * one):
