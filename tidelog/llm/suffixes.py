@@ -34,9 +34,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import U64, mix64, small_batches, stash, text_bytes
+from tidelog.llm.shared import U64, mix64, release, slices, small_batches, stash, text_bytes
 
 GRAM = 18
+SLICE = 1 << 18  # bytes of text that are hashed at a time
 _B = U64(0x9E3779B97F4A7C15)
 
 
@@ -102,11 +103,10 @@ def refine(pointer: np.ndarray, later: np.ndarray) -> np.ndarray:
     if len(many):
         key = pointer[many].astype(np.int64) << 32 | later[many]
         order = np.argsort(key)
-        k, place = key[order], np.arange(len(many))
-        fresh = np.r_[True, k[1:] != k[:-1]]
-        bucket = k >> 32
+        key, place = key[order], np.arange(len(many), dtype=np.int32)
+        bucket = (key >> 32).astype(np.int32)
+        start = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], place, 0))
         head = np.maximum.accumulate(np.where(np.r_[True, bucket[1:] != bucket[:-1]], place, 0))
-        start = np.maximum.accumulate(np.where(fresh, place, 0))
         out[many[order]] = bucket + start - head
     return out
 
@@ -117,23 +117,29 @@ def depth_sort(text: np.ndarray, length: int) -> np.ndarray:
     n = len(text)
     gram = np.zeros(n, U64)
     for i in range(8):
-        gram = gram << U64(8) | padded[i : i + n].astype(U64)
+        gram <<= U64(8)
+        gram |= padded[i : i + n]
     order = np.argsort(gram)
-    g = gram[order]
-    pointer = np.empty(n, np.int64)
-    pointer[order] = np.maximum.accumulate(np.where(np.r_[True, g[1:] != g[:-1]], np.arange(n), 0))
+    gram = gram[order]
+    pointer = np.empty(n, np.int32)
+    pointer[order] = np.maximum.accumulate(np.where(np.r_[True, gram[1:] != gram[:-1]], np.arange(n, dtype=np.int32), 0))
+    del gram, order
     depth = 8
     while depth < length:
         step = min(depth, length - depth)
-        later = np.zeros(n, np.int64)
+        later = np.zeros(n, np.int32)
         later[: n - step] = pointer[step:]
         pointer, depth = refine(pointer, later), depth + step
     return pointer
 
 
+#: Pieces of a part are sorted in so many turns, by their seeds, as pieces of two seeds never match.
+FINE = 16
+
+
 def _pieces(w: Windows, ids: list[int], mine: np.ndarray, parts: int, length: int) -> Iterator[tuple[int, bytes]]:
     """Shared runs of a batch by part: (distinct pieces, and for each run its piece, document and place)."""
-    part = (w.seed[mine] * U64(parts) >> U64(48)).astype(np.int64)
+    part = ((w.seed[mine] >> U64(16)) * U64(parts) >> U64(32)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     runs = mine[order]
     edge = np.searchsorted(part[order], np.arange(parts + 1))
@@ -143,8 +149,10 @@ def _pieces(w: Windows, ids: list[int], mine: np.ndarray, parts: int, length: in
     for p in np.flatnonzero(np.diff(edge)).tolist():
         lo, hi = int(edge[p]), int(edge[p + 1])
         known: dict[bytes, int] = {}
-        which = [known.setdefault(w.buf[a : b + length - 1], len(known)) for a, b in zip(first[lo:hi].tolist(), last[lo:hi].tolist(), strict=True)]
-        yield p, pickle.dumps((list(known), np.array(which, np.int32), ids_[doc[lo:hi]], at[lo:hi]), 5)
+        which = np.array([known.setdefault(w.buf[a : b + length - 1], len(known)) for a, b in zip(first[lo:hi].tolist(), last[lo:hi].tolist(), strict=True)], np.int32)
+        fine = np.zeros(len(known), np.uint8)
+        fine[which] = w.seed[runs[lo:hi]].astype(np.uint8) % FINE
+        yield p, pickle.dumps((list(known), fine, which, ids_[doc[lo:hi]], at[lo:hi]), 5)
 
 
 def repeated(pieces: list[bytes], least: np.ndarray, length: int) -> np.ndarray:
@@ -163,15 +171,27 @@ def repeated(pieces: list[bytes], least: np.ndarray, length: int) -> np.ndarray:
 
 def shared_runs(blobs: list[bytes], length: int) -> dict[int, list[tuple[int, int]]]:
     """Blobs of one part to removed byte ranges by document."""
-    known: dict[bytes, int] = {}
-    which, docs, places = [], [], []
-    for x in blobs:
-        pieces, w, d, at = pickle.loads(x)
-        which.append(np.array([known.setdefault(p, len(known)) for p in pieces], np.int64)[w])
-        docs.append(d)
-        places.append(at)
-    which, docs, places = np.concatenate(which), np.concatenate(docs), np.concatenate(places)
-    pieces = list(known)
+    cols = [pickle.loads(x) for x in blobs]
+    out: dict[int, list[tuple[int, int]]] = {}
+    for turn in range(FINE):
+        known: dict[bytes, int] = {}
+        which, docs, places = [], [], []
+        for pieces, fine, w, d, at in cols:
+            mine = fine == turn
+            if mine.any():
+                new = np.full(len(pieces), -1, np.int64)
+                for i in np.flatnonzero(mine).tolist():
+                    new[i] = known.setdefault(pieces[i], len(known))
+                here = mine[w]
+                which.append(new[w[here]])
+                docs.append(d[here])
+                places.append(at[here])
+        if known:
+            _removed(list(known), np.concatenate(which), np.concatenate(docs), np.concatenate(places), length, out)
+    return out
+
+
+def _removed(pieces: list[bytes], which: np.ndarray, docs: np.ndarray, places: np.ndarray, length: int, out: dict[int, list[tuple[int, int]]]) -> None:
     least = np.full(len(pieces), np.iinfo(np.int64).max)
     np.minimum.at(least, which, docs)
     count = np.array([len(p) - length + 1 for p in pieces], np.int64)
@@ -186,12 +206,10 @@ def shared_runs(blobs: list[bytes], length: int) -> dict[int, list[tuple[int, in
             stop = min(b, int(end[p]))
             runs.setdefault(p, []).append((a - int(end[p] - count[p]), stop - int(end[p] - count[p])))
             a = stop
-    out: dict[int, list[tuple[int, int]]] = {}
     for p, d, at in zip(which.tolist(), docs.tolist(), places.tolist(), strict=True):
         spans = [(0, int(count[p]))] if d > least[p] else runs.get(p, ())
         if spans:
             out.setdefault(d, []).extend((at + a, at + b + length - 1) for a, b in spans)
-    return out
 
 
 def merged(spans: np.ndarray) -> list[tuple[int, int]]:
@@ -205,15 +223,20 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """Documents with a key that is never null: both joins of their texts then ask for one and the same exchange, which Spark reuses."""
+    return docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("_j"))
+
+
 def duplicate_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 50) -> tuple[DataFrame, DataFrame]:
     """((_doc, _spans): pickled arrays of byte ranges to remove, found in first copies; (_copy): ids of texts that a smaller document has)."""
     if length < GRAM + 1:
         raise ValueError(f"length is at least {GRAM + 1}")
     spark = docs.sparkSession
-    small_batches(spark)
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = 4 * buckets
-    rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t"))
+    small_batches(spark, 500)
+    buckets = 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts, lots = 6 * buckets, 4 * buckets
+    rows = keyed(docs, text, key)
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,7 +244,7 @@ def duplicate_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", le
             halves = np.array([(x >> 64, x & (2**64 - 1)) for x in d], U64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["_id", "_d1", "_d2"])
 
-    named = stash(rows.mapInArrow(identify, "_id long, _d1 long, _d2 long"))
+    named = stash(rows.select("_id", "_t").mapInArrow(identify, "_id long, _d1 long, _d2 long"))
     classes = named.groupBy("_d1", "_d2").agg(F.min("_id").alias("_first"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +256,7 @@ def duplicate_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", le
             seed, who = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(seed)
             seed, who = seed[order], who[order]
-            edge = np.searchsorted(seed, (np.arange(1, buckets).astype(U64) << U64(48)) // U64(buckets))
+            edge = np.searchsorted(seed, np.array([(i << 48) // buckets for i in range(1, buckets)], U64))
             table = np.array(names, U64)
             blobs = []
             for s, w in zip(np.split(seed, edge), np.split(who, edge), strict=True):
@@ -242,17 +265,21 @@ def duplicate_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", le
             return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
         for b in batches:
-            texts = list(dict.fromkeys(text_bytes(b.column("_t"))))
-            w = Windows(texts, length)
-            if len(w.seed):
-                held.append((w.seed, w.doc + len(names)))
-                names += [xxhash.xxh3_128_intdigest(t) >> 64 for t in texts]
-                total += len(w.seed)
+            distinct = list(dict.fromkeys(text_bytes(b.column("_t"))))
+            for s in slices([len(t) for t in distinct], SLICE):
+                w = Windows(distinct[s], length)
+                if len(w.seed):
+                    held.append((w.seed, w.doc + len(names)))
+                    names += [xxhash.xxh3_128_intdigest(t) >> 64 for t in distinct[s]]
+                    total += len(w.seed)
             if total > 600_000 or len(names) > 60_000:
                 yield flush()
                 held, names, total = [], [], 0
+                release()
         if held:
             yield flush()
+        del held
+        release()
 
     def meet(table: pa.Table) -> pa.Table:
         seeds, who = [], []
@@ -268,30 +295,48 @@ def duplicate_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", le
         differs = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(seed) else np.zeros(0, bool)
         hit = np.repeat(differs, n)
         seed, doc = seed[hit], doc[hit]
-        order = np.argsort(doc, kind="stable")
+        lot = (doc % U64(lots)).astype(np.int32)
+        order = np.lexsort((doc, lot))
+        seed, doc, lot = seed[order], doc[order], lot[order]
+        at = np.flatnonzero(np.r_[True, lot[1:] != lot[:-1]]) if len(lot) else np.zeros(0, np.int64)
+        blobs = [pickle.dumps((s, d), 5) for s, d in zip(np.split(seed, at[1:]), np.split(doc, at[1:]), strict=True)] if len(at) else []
+        out = pa.table({"lot": pa.array(lot[at]), "blob": pa.array(blobs, pa.binary())})
+        del seeds, who, order, hit, seed, doc
+        release()
+        return out
+
+    def tell(table: pa.Table) -> pa.Table:
+        """A lot of documents, each with all its shared seeds."""
+        cols = [pickle.loads(x) for x in table.column("blob").to_pylist()]
+        seed, doc = np.concatenate([c[0] for c in cols]), np.concatenate([c[1] for c in cols])
+        order = np.lexsort((seed, doc))
         seed, doc = seed[order], doc[order]
-        at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-        blobs = [x.tobytes() for x in np.split(seed, at[1:])] if len(at) else []
-        return pa.table({"_e1": pa.array(doc[at].view(np.int64)), "_seeds": pa.array(blobs, pa.binary())})
+        at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        return pa.table({"_e1": pa.array(doc[at].view(np.int64)), "_seeds": pa.array([x.tobytes() for x in np.split(seed, at[1:])], pa.binary())})
 
-    told = rows.select("_t").mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, "_e1 long, _seeds binary")
-    heard = told.groupBy("_e1").agg(F.collect_list("_seeds").alias("_seeds")).join(classes, F.col("_e1") == F.col("_d1")).filter("_first is not null").select(F.col("_first").alias("_doc"), "_seeds")
-    shared = rows.join(heard, F.col("_id") == F.col("_doc")).select("_id", "_t", "_seeds")
+    told = rows.select("_t").mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, "lot int, blob binary").groupBy("lot").applyInArrow(tell, "_e1 long, _seeds binary")
+    heard = told.join(classes, F.col("_e1") == F.col("_d1")).filter("_first is not null").select(F.col("_first").alias("_doc"), "_seeds")
+    shared = rows.join(heard, F.col("_j") == F.col("_doc")).select("_id", "_t", "_seeds")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w = Windows(text_bytes(b.column("_t")), length)
-            sets = [np.sort(np.frombuffer(b"".join(x), U64)) for x in b.column("_seeds").to_pylist()]
-            keep = np.zeros(len(w.seed), bool)
-            edge = np.searchsorted(w.doc, np.arange(len(sets) + 1))
-            for s, lo, hi in zip(sets, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if lo < hi:
-                    keep[lo:hi] = s[np.minimum(np.searchsorted(s, w.seed[lo:hi]), len(s) - 1)] == w.seed[lo:hi]
-            out = list(_pieces(w, b.column("_id").to_pylist(), np.flatnonzero(keep), parts, length))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["part", "blob"])
+            texts, ids = text_bytes(b.column("_t")), b.column("_id").to_pylist()
+            sets = [np.frombuffer(x, U64) for x in b.column("_seeds").to_pylist()]
+            for s in slices([len(t) for t in texts], SLICE):
+                w = Windows(texts[s], length)
+                keep = np.zeros(len(w.seed), bool)
+                mine = sets[s]
+                edge = np.searchsorted(w.doc, np.arange(len(mine) + 1))
+                for x, lo, hi in zip(mine, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    if lo < hi:
+                        keep[lo:hi] = x[np.minimum(np.searchsorted(x, w.seed[lo:hi]), len(x) - 1)] == w.seed[lo:hi]
+                out = list(_pieces(w, ids[s], np.flatnonzero(keep), parts, length))
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["part", "blob"])
+            release()
 
     def find(table: pa.Table) -> pa.Table:
         found = shared_runs(table.column("blob").to_pylist(), length)
+        release()
         return pa.table({"_doc": pa.array(list(found), pa.int64()), "_span": pa.array([np.array(merged(np.array(x)), np.int64).tobytes() for x in found.values()], pa.binary())})
 
     found = shared.mapInArrow(deal, "part int, blob binary").groupBy("part").applyInArrow(find, "_doc long, _span binary")
@@ -303,7 +348,7 @@ def remove_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", lengt
     """(_id, _n_bytes, _kept, _spans, _sha256) of each document: its size, the bytes that stay (null without ``bytes_too``), the ranges that go, and the hash of what stays."""
     spans, copies = duplicate_spans(docs, text, key, length)
     known = spans.select("_doc", "_spans", F.lit(False).alias("_whole")).unionByName(copies.select(F.col("_copy").alias("_doc"), F.lit(None).cast("array<binary>").alias("_spans"), F.lit(True).alias("_whole")))
-    rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t")).join(known, F.col("_id") == F.col("_doc"), "left").select("_id", "_t", "_spans", "_whole")
+    rows = keyed(docs, text, key).join(known, F.col("_j") == F.col("_doc"), "left").select("_id", "_t", "_spans", "_whole")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
