@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import cut
+from tidelog.llm.shared import cut, free
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
     """Edges to (node, component), the component being its smallest node. Nodes without an edge are absent."""
     lo, hi = F.least(a, b), F.greatest(a, b)
     e = cut(edges.filter(F.col(a) != F.col(b)).select(hi.alias("u"), lo.alias("v")).distinct())
+    free(edges.sparkSession)
     state = None
     for _ in range(most):
         now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())

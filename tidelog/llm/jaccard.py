@@ -22,6 +22,7 @@ its class's component; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import components
-from tidelog.llm.shared import GOLDEN, LOWER, U64, WordHash, cut, mix64, shingles, small_batches, stash, text_bytes
+from tidelog.llm.shared import GOLDEN, LOWER, U64, WordHash, cut, free, mix64, release, shingles, small_batches, stash, text_bytes
 
 BITS = 4096  # of a bitmap
 LEAF, FAN = 8, 8
@@ -103,14 +104,20 @@ def candidate_edges(docs: DataFrame, size: int, num: int, den: int, buckets: int
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        names: list[int] = []
         total = 0
 
         def flush() -> pa.RecordBatch:
-            both = np.concatenate(held)
-            both = both[np.argsort(both[:, 0])]
-            edge = np.searchsorted(both[:, 0], np.arange(buckets).astype(U64) * U64((1 << 64) // buckets))
-            blobs = [x.tobytes() for x in np.split(both, edge[1:])]
+            h, who = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(h)
+            h, who = h[order], who[order]
+            edge = np.searchsorted(h, np.array([(i << 48) // buckets for i in range(1, buckets)], U64))
+            table = np.array(names, np.int64)
+            blobs = []
+            for x, w in zip(np.split(h, edge), np.split(who, edge), strict=True):
+                used, back = np.unique(w, return_inverse=True)
+                blobs.append(pickle.dumps(((x & U64(0xFFFFFFFF)).astype(np.uint32), (x >> U64(32)).astype(np.uint16), back.astype(np.uint16), table[used]), 5))
             return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
         for b in batches:
@@ -121,19 +128,23 @@ def candidate_edges(docs: DataFrame, size: int, num: int, den: int, buckets: int
                 if d in seen:
                     continue
                 seen.add(d)
-                h = part_hashes(s, num, den)
-                held.append(np.stack([h, np.full(len(h), d[0]).astype(np.int64).view(U64)], axis=1))
+                h = part_hashes(s, num, den) >> U64(16)
+                held.append((h, np.full(len(h), len(names), np.int32)))
+                names.append(d[0])
                 total += len(h)
-            if total > 400_000:
+            if total > 800_000 or len(names) > 60_000:
                 yield flush()
-                held, total = [], 0
+                held, names, total = [], [], 0
+                release()
         if total:
             yield flush()
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
-        both = np.concatenate([np.frombuffer(x, U64).reshape(-1, 2) for x in table.column("blob").to_pylist()])
-        both = both[np.lexsort((both[:, 1], both[:, 0]))]
-        h, d = both[:, 0], both[:, 1].copy().view(np.int64)
+        cols = [pickle.loads(x) for x in table.column("blob").to_pylist()]
+        h = np.concatenate([hi.astype(U64) << U64(32) | lo for lo, hi, _, _ in cols])
+        d = np.concatenate([names[back] for _, _, back, names in cols])
+        order = np.lexsort((d, h))
+        h, d = h[order], d[order]
         first = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
         head = d[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(h) else d
         pair = np.unique(np.stack([head, d], axis=1)[head != d], axis=0)
@@ -271,6 +282,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     wanted = cut(classes.join(groups, F.col("_d1") == F.col("node")).filter("_rep is not null").select("_rep", F.col("component").alias("_comp")))
     members = wanted.join(docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t")), F.col("_rep") == F.col("_id")).dropDuplicates(["_id"]).select("_id", "_t", "_comp")
     linked = components(links(members, size, num, den, buckets, chunk))
+    free(spark)
     final = classes.join(linked, F.col("_rep") == F.col("node"), "left").select(F.col("_d1").alias("_e1"), F.col("_d2").alias("_e2"), F.col("_n").alias("_e3"), F.coalesce("component", "_rep").alias("_c"))
     out = prof.join(final, (F.col("_d1") == F.col("_e1")) & (F.col("_d2") == F.col("_e2")) & (F.col("_n") == F.col("_e3")), "left")
     return out.select("_id", "_n", F.coalesce("_c", "_id").alias("_component"))
@@ -278,7 +290,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The documents that represent their component, and those without an id; all columns."""
-    joined = jaccard_join(docs, text, key, **options)
+    joined = stash(jaccard_join(docs, text, key, **options))
     gone = joined.filter(F.col("_id").isNotNull() & (F.col("_id") != F.col("_component"))).select(F.col("_id").alias("_gone")).distinct()
     return docs.join(gone, F.col(key).cast("long") == F.col("_gone"), "left_anti")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,11 +36,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffle files of plans that nothing refers to any more; it goes by the driver's garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it again, so that later passes reuse it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidelog/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    free(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
