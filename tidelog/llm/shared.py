@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +43,29 @@ def free(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Paths of the tables stashed in each open scope, innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables stashed inside are deleted at the end; what is used later must have been cut from them by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        jvm = spark._jvm
+        for path in _SCOPES.pop():
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it again, so that later passes reuse it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidelog/{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     free(spark)
     return spark.read.schema(df.schema).parquet(path)
