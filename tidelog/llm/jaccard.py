@@ -3,7 +3,10 @@
 Documents are sets of word shingles; two link when their Jaccard similarity reaches the threshold. The
 join is exact:
 
-1. Equal sets are one class, represented by the smallest document id.
+1. Equal sets are one class, represented by the smallest document id. A linked pair shares at least
+   num/den of either set, so a class whose tokens are to a larger part in no other class has no
+   links; its text goes no further. Half of all tokens, chosen by hash, are counted for that: a
+   class that they do not rule out stays in.
 2. Candidates. Sizes fall into ranges such that linked sets are in the same or in neighbouring ranges.
    For a range the tokens are dealt into more parts than a linked pair can have differing tokens, so a
    linked pair agrees in whole parts; hashes of whole parts meet. A shared line or passage does not
@@ -23,7 +26,7 @@ its class's component; an empty table gives an empty result.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import components
-from tidelog.llm.shared import GOLDEN, LOWER, U64, WordHash, cut, free, mix64, release, shingles, small_batches, stash, text_bytes
+from tidelog.llm.shared import GOLDEN, LOWER, U64, WordHash, free, mix64, passing, release, shingles, small_batches, stash, text_bytes
 
 BITS = 4096  # of a bitmap
 LEAF, FAN = 8, 8
@@ -99,19 +102,26 @@ def profile(docs: DataFrame, size: int, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t")).mapInArrow(run, "_id long, _n long, _d1 long, _d2 long")
 
 
-def candidate_edges(docs: DataFrame, size: int, num: int, den: int, buckets: int, text: str) -> DataFrame:
-    """(a, b): identities (first halves) of classes that agree in a whole part; a star for each part."""
+def sent(docs: DataFrame, size: int, entries: Callable[[np.ndarray], np.ndarray], most: int | None, buckets: int) -> DataFrame:
+    """(bucket, blob): 48-bit entries of each set with the class they are of, by range of the entry.
+
+    ``most``: an entry that more classes of a blob have is sent for so many of them.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         names: list[int] = []
+        seen: set[tuple[int, int]] = set()
         total = 0
 
         def flush() -> pa.RecordBatch:
             h, who = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(h)
             h, who = h[order], who[order]
+            if most and len(h) > most:
+                kept = np.r_[np.ones(most, bool), h[most:] != h[:-most]]
+                h, who = h[kept], who[kept]
             edge = np.searchsorted(h, np.array([(i << 48) // buckets for i in range(1, buckets)], U64))
             table = np.array(names, np.int64)
             blobs = []
@@ -121,37 +131,65 @@ def candidate_edges(docs: DataFrame, size: int, num: int, den: int, buckets: int
             return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
         for b in batches:
-            seen = set()
             for x in text_bytes(b.column("_t")):
                 s = token_set(x, words, size)
                 d = identity(s)
                 if d in seen:
                     continue
                 seen.add(d)
-                h = part_hashes(s, num, den) >> U64(16)
+                h = entries(s)
                 held.append((h, np.full(len(h), len(names), np.int32)))
                 names.append(d[0])
                 total += len(h)
             if total > 800_000 or len(names) > 60_000:
                 yield flush()
                 held, names, total = [], [], 0
+                seen.clear()
                 release()
         if total:
             yield flush()
 
+    return docs.select("_t").mapInArrow(send, "bucket int, blob binary")
+
+
+def met(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of a bucket and their classes, both in order."""
+    cols = [pickle.loads(x) for x in table.column("blob").to_pylist()]
+    h = np.concatenate([hi.astype(U64) << U64(32) | lo for lo, hi, _, _ in cols])
+    d = np.concatenate([names[back] for _, _, back, names in cols])
+    order = np.lexsort((d, h))
+    return h[order], d[order]
+
+
+def lone_tokens(docs: DataFrame, size: int, buckets: int) -> DataFrame:
+    """(_name, _lone): how many of the counted tokens of a class no other class has, where there are any."""
+
+    def half(s: np.ndarray) -> np.ndarray:
+        return s[(s & U64(1)) == 0] >> U64(16)
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        h, d = met(table)
+        new = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])] if len(h) else np.zeros(0, bool)
+        h, d = h[new], d[new]
+        other = h[1:] != h[:-1]
+        names, n = np.unique(d[np.r_[True, other] & np.r_[other, True]] if len(h) else d, return_counts=True)
+        return pa.table({"_name": pa.array(names, pa.int64()), "_n1": pa.array(n, pa.int64())})
+
+    each = sent(docs, size, half, 2, buckets).groupBy("bucket").applyInArrow(count, "_name long, _n1 long")
+    return each.groupBy("_name").agg(F.sum("_n1").alias("_lone"))
+
+
+def candidate_edges(docs: DataFrame, size: int, num: int, den: int, buckets: int) -> DataFrame:
+    """(a, b): identities (first halves) of classes that agree in a whole part; a star for each part."""
+
     def meet(key: tuple, table: pa.Table) -> pa.Table:
-        cols = [pickle.loads(x) for x in table.column("blob").to_pylist()]
-        h = np.concatenate([hi.astype(U64) << U64(32) | lo for lo, hi, _, _ in cols])
-        d = np.concatenate([names[back] for _, _, back, names in cols])
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
+        h, d = met(table)
         first = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
         head = d[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(h) else d
         pair = np.unique(np.stack([head, d], axis=1)[head != d], axis=0)
         return pa.table({"a": pa.array(pair[:, 0]), "b": pa.array(pair[:, 1])})
 
-    sent = docs.select(F.col(text).alias("_t")).mapInArrow(send, "bucket int, blob binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return sent(docs, size, lambda s: part_hashes(s, num, den) >> U64(16), None, buckets).groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 class Node:
@@ -277,11 +315,15 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     prof = stash(profile(docs, size, text, key))
     classes = prof.filter("_n > 0").groupBy("_d1", "_d2", "_n").agg(F.min("_id").alias("_rep"))
-    edges = candidate_edges(docs, size, num, den, buckets, text)
-    groups = components(edges)
-    wanted = cut(classes.join(groups, F.col("_d1") == F.col("node")).filter("_rep is not null").select("_rep", F.col("component").alias("_comp")))
-    members = wanted.join(docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t")), F.col("_rep") == F.col("_id")).dropDuplicates(["_id"]).select("_id", "_t", "_comp")
-    linked = components(links(members, size, num, den, buckets, chunk))
+    texts = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t"))
+    with passing(spark):
+        lone = lone_tokens(texts, size, buckets)
+        open_ = F.coalesce("_lone", F.lit(0)) <= F.col("_n") - F.ceil(F.col("_n") * num / den)
+        wanted = stash(classes.filter("_rep is not null").join(lone, F.col("_d1") == F.col("_name"), "left").filter(open_).select("_rep", "_d1"))
+        members = stash(wanted.join(texts, F.col("_rep") == F.col("_id")).dropDuplicates(["_id"]).select("_id", "_t", "_d1"))
+        groups = components(candidate_edges(members, size, num, den, buckets))
+        grouped = members.join(groups, F.col("_d1") == F.col("node")).select("_id", "_t", F.col("component").alias("_comp"))
+        linked = components(links(grouped, size, num, den, buckets, chunk))
     free(spark)
     final = classes.join(linked, F.col("_rep") == F.col("node"), "left").select(F.col("_d1").alias("_e1"), F.col("_d2").alias("_e2"), F.col("_n").alias("_e3"), F.coalesce("component", "_rep").alias("_c"))
     out = prof.join(final, (F.col("_d1") == F.col("_e1")) & (F.col("_d2") == F.col("_e2")) & (F.col("_n") == F.col("_e3")), "left")
