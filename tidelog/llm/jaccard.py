@@ -173,10 +173,22 @@ def lone_tokens(docs: DataFrame, size: int, buckets: int) -> DataFrame:
         h, d = h[new], d[new]
         other = h[1:] != h[:-1]
         names, n = np.unique(d[np.r_[True, other] & np.r_[other, True]] if len(h) else d, return_counts=True)
-        return pa.table({"_name": pa.array(names, pa.int64()), "_n1": pa.array(n, pa.int64())})
-
-    each = sent(docs, size, half, 2, buckets).groupBy("bucket").applyInArrow(count, "_name long, _n1 long")
-    return each.groupBy("_name").agg(F.sum("_n1").alias("_lone"))
+        place = ((names.view(U64) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
+        order = np.argsort(place, kind="stable")
+        used, first = np.unique(place[order], return_index=True)
+        blobs = [pickle.dumps((names[x], n[x].astype(np.uint32)), 5) for x in np.split(order, first[1:])] if len(used) else []
+        return pa.table({"bucket": pa.array(used, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+    def total(key: tuple, table: pa.Table) -> pa.Table:
+        cols = [pickle.loads(x) for x in table.column("blob").to_pylist()]
+        names, back = np.unique(np.concatenate([x for x, _ in cols]), return_inverse=True)
+        n = np.zeros(len(names), np.int64)
+        np.add.at(n, back, np.concatenate([x for _, x in cols]))
+        return pa.table({"_name": pa.array(names), "_lone": pa.array(n)})
+
+    # a class has its tokens in many buckets: counts travel packed, by range of the name
+    each = sent(docs, size, half, 2, buckets).groupBy("bucket").applyInArrow(count, "bucket int, blob binary")
+    return each.groupBy("bucket").applyInArrow(total, "_name long, _lone long")
 
 
 def candidate_edges(docs: DataFrame, size: int, num: int, den: int, buckets: int) -> DataFrame:
