@@ -111,6 +111,18 @@ def test_lines_against_brute_force(docs):
     assert got.keys() == want.keys() and sum(got[k] != want[k] for k in want) <= len(want) // 500
 
 
+@pytest.mark.parametrize("block", [512, 32])
+def test_lines_of_a_template(spark, block):
+    words = [hashlib.md5(str(i).encode()).hexdigest()[:5] for i in range(20)]
+    texts = [" ".join(words)] + [" ".join([*words[: i % 20], f"v{i:04}", *words[i % 20 + 1 :]]) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [line_set(x) for x in texts]
+    near = [sum(10 * len(s & t) >= 8 * len(s | t) for t in sets) for s in sets]
+    assert near[0] == 301 and sorted(near)[150] < 50  # the template is near all variants, they are near few
+    got = [r for r in lines.line_classes(docs, block=block).collect() if (r["_class_id"], r["_class_no"]) != (0, 0)]
+    assert len(got) <= 1
+
+
 def test_lines_odd(odd, empty):
     assert lines.line_classes(empty).count() == 0 and lines.drop_lines(empty).count() == 0
     left = lines.drop_lines(odd.withColumn("_id", F.lit("x")).withColumn("_no", F.lit(1)).drop("_id", "_no")).collect()
