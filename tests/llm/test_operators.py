@@ -123,6 +123,20 @@ def test_lines_of_a_template(spark, block):
     assert len(got) <= 1
 
 
+def test_lines_by_every_character(spark, docs):
+    apart = ["https://a.org/x", "https://a.org/y", "2024-01-01T10:00", "2024-01-01T11:00", "Andththwhwh.", "Andththwhes.", "今日は天気がとても良いので散歩に行きます", "今日は天気がとても良くないので家にいます"]
+    got = lines.drop_lines(spark.createDataFrame(list(enumerate(apart)), "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == set(range(len(apart)))
+    # a line of over one piece: what the pieces give is what the whole line has
+    texts = [x for (x,) in docs.select("text").filter("text is not null").limit(20).collect()] + ["x" * 8, "y" * 9, "z" * 10, "ab" * 68, "é🙂" * 200]
+    rows = spark.createDataFrame([(x,) for x in texts], "_line string")
+    full = rows.select("_line", lines.hash_set(9, True).alias("s")).collect()
+    want = {x: len({x[i : i + 9] for i in range(max(1, len(x) - 8))}) for x in texts}
+    assert all(len(r["s"]) == want[r["_line"]] for r in full)
+    seen = lines.hashed(rows, 9, True).groupBy("_k").agg(F.collect_set("_h").alias("h")).collect()
+    assert {frozenset(r["h"]) for r in seen} == {frozenset(r["s"]) for r in full}
+
+
 def test_lines_odd(odd, empty):
     assert lines.line_classes(empty).count() == 0 and lines.drop_lines(empty).count() == 0
     left = lines.drop_lines(odd.withColumn("_id", F.lit("x")).withColumn("_no", F.lit(1)).drop("_id", "_no")).collect()
