@@ -247,6 +247,27 @@ def test_passages(spark, docs):
     assert [(r["_id"], r["_ref"]) for r in out] == [(2, 1)] and out[0]["_end"] - out[0]["_start"] >= 75
 
 
+def test_passages_whose_sentences_occur_earlier(spark):
+    one, two = [f"s{i}" for i in range(30)], [f"t{i}" for i in range(30)]
+    parts = [one, two, [*(f"u{i}" for i in range(20)), *one, *two], [*(f"v{i}" for i in range(20)), *one, *two], one]
+    small = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(parts)], "doc_id long, text string")
+    got = {(r["_id"], r["_ref"], r["_start"], r["_end"]) for r in chaining.passages(small).collect()}
+    assert got == {(3, 2, 20, 80)}
+
+
+def test_deals_match_all_places():
+    rng = np.random.default_rng(3)
+    rows = np.unique(np.stack([rng.integers(0, 9, 900) ** 2 // 20, rng.integers(0, 40, 900), rng.integers(0, 20, 900)], axis=1), axis=0)
+    seed, doc, at = rows.T
+    want = Counter((int(a[1]), int(a[2]), int(b[2]), int(b[1])) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1])
+    for most, block in ((10**9, 512), (500, 16), (1, 7)):
+        got = Counter()
+        for deal in chaining.deals(seed, doc, at, most, block):
+            who, m = chaining.matches(*deal)
+            got.update((*map(int, x), int(w)) for w, x in zip(who, m, strict=True))
+        assert got == want
+
+
 def test_chains_are_collinear():
     x, y = np.array([0, 10, 20, 30, 12]), np.array([5, 15, 2, 35, 17])
     best = chaining.chains(x, y, 5)[0]
