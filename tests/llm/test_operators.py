@@ -255,6 +255,17 @@ def test_passages_whose_sentences_occur_earlier(spark):
     assert got == {(3, 2, 20, 80)}
 
 
+@pytest.mark.parametrize(("size", "every"), [(50, 10), (50, 8), (50, 7), (80, 7)])
+def test_fuzzy_passages_have_seeds(spark, size, every):
+    rows = []
+    for i in range(40):
+        base = [f"w{i}x{j}" for j in range(size)]
+        near = [f"n{i}x{j}" if j % every == i % every else w for j, w in enumerate(base)]
+        rows += [(i, " ".join([f"p{i}x{j}" for j in range(20)] + base)), (100 + i, " ".join([f"q{i}x{j}" for j in range(20)] + near))]
+    got = {(r["_id"], r["_ref"]) for r in chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(100 + i, i) for i in range(40)}
+
+
 def test_deals_match_all_places():
     rng = np.random.default_rng(3)
     rows = np.unique(np.stack([rng.integers(0, 9, 900) ** 2 // 20, rng.integers(0, 40, 900), rng.integers(0, 20, 900)], axis=1), axis=0)
