@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps: DataFrame operations only.
 
 Every step is an aggregation by node with partial sums and a join back; edges of a node with many
-neighbours are spread by the join's skew handling, and lineage is cut with reliable checkpoints.
+neighbours are spread by the join's skew handling, and lineage is cut with reliable checkpoints. The steps go on to the
+fixed point, which takes a number of rounds in the order of the logarithm of the nodes; an unfinished labelling is an error.
 """
 
 from __future__ import annotations
@@ -29,4 +30,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("u2"), "m")
         small = large.join(low, F.col("u") == F.col("u2")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionByName(low.select(F.col("u2").alias("u"), F.col("m").alias("v"))).distinct())
+    else:
+        raise RuntimeError(f"components: no fixed point after {most} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
