@@ -301,17 +301,45 @@ def test_fuzzy_passages_have_seeds(spark, size, every):
     assert got == {(100 + i, i) for i in range(40)}
 
 
-def test_deals_match_all_places():
+def test_passage_with_pieces_in_smaller_documents(spark):
+    # a passage of 70 words, pieces of which five smaller documents have, and five between the two that have it whole
+    whole = [f"w{i}" for i in range(70)]
+    pieces_ = [whole[i * 12 : i * 12 + 22] for i in range(5)]
+    rows = [(i, [f"a{i}", *p]) for i, p in enumerate(pieces_)] + [(10, ["x1", *whole, "x2"])] + [(20 + i, [f"b{i}", *p]) for i, p in enumerate(pieces_)] + [(30, ["y1", "y2", *whole])]
+    # two exact passages with unlike words between them
+    rows += [(40, [f"l{i}" for i in range(45)] + [f"m{i}" for i in range(60)] + [f"n{i}" for i in range(45)]), (41, [f"l{i}" for i in range(45)] + [f"o{i}" for i in range(60)] + [f"n{i}" for i in range(45)])]
+    small = spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")
+    got = {(r["_id"], r["_ref"], r["_start"], r["_end"]) for r in chaining.passages(small).collect()}
+    assert got == {(30, 10, 2, 72), (41, 40, 0, 45), (41, 40, 105, 150)}
+
+
+def test_matches_of_a_seed():
     rng = np.random.default_rng(3)
     rows = np.unique(np.stack([rng.integers(0, 9, 900) ** 2 // 20, rng.integers(0, 40, 900), rng.integers(0, 20, 900)], axis=1), axis=0)
-    seed, doc, at = rows.T
-    want = Counter((int(a[1]), int(a[2]), int(b[2]), int(b[1])) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1])
-    for most, block in ((10**9, 512), (500, 16), (1, 7)):
-        got = Counter()
-        for deal in chaining.deals(seed, doc, at, most, block):
-            who, m = chaining.matches(*deal)
-            got.update((*map(int, x), int(w)) for w, x in zip(who, m, strict=True))
-        assert got == want
+    want = Counter()
+    for s, d, x in rows.tolist():
+        less = [r for r in rows.tolist() if r[0] == s and r[1] < d]
+        if less:
+            near = max(less)
+            want.update({(s, d, x, *less[0][1:]), (s, d, x, *near[1:])} if near[1] != less[0][1] else {(s, d, x, *less[0][1:])})
+    one, two = chaining.matches(*rows.T)
+    assert Counter((*rows[i].tolist(), *rows[j, 1:].tolist()) for i, j in zip(one, two, strict=True)) == want
+
+
+def test_edit_matches_is_the_longest_common_subsequence():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        a, b = (rng.integers(0, 6, rng.integers(0, 30)).tolist() for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert chaining.edit_matches(a, b) == best[-1][-1]
+
+
+def test_passages_odd(odd, empty):
+    got = {(r["_id"], r["_ref"], r["_start"], r["_end"]) for r in chaining.passages(odd.withColumns({"_id": F.lit(1), "_doc": F.lit(2), "_t": F.lit("x")})).collect()}
+    assert got == {(5, 4, 0, 6000)} and chaining.passages(empty).count() == 0
 
 
 def test_chains_are_collinear():
