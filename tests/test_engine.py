@@ -129,3 +129,61 @@ def test_stream_keeps_the_newest(spark, tmp_path):
     names = upsert.run_once(spark, str(tmp_path / "in"), SCHEMA, str(tmp_path / "cp"), files=1)
     out = state([tuple(r) for r in spark.table(names[0]).collect()])
     assert out == state(rows)
+
+
+def test_cache_replay_against_a_plain_version(spark):
+    from tidelog.functions import cache
+
+    r = random.Random(4)
+    rows = [(min(int(r.expovariate(0.05)), 200), i, r.choice(["get", "get", "get", "set", "del"])) for i in range(1500)]
+    got = {x["seq"]: x for x in cache.replay(spark.createDataFrame(rows, "key bigint, seq bigint, op string"), 40, shards=1).collect()}
+    held: set[int] = set()
+    for key, seq, op in rows:
+        x = got[seq]
+        assert x["hit"] == (key in held if op != "set" else False), (seq, op)
+        if op == "del":
+            held.discard(key)
+        elif not x["hit"]:
+            held.add(key)
+            held.discard(x["gone"])
+        assert len(held) <= 40
+    assert sum(got[s]["hit"] for _, s, op in rows if op == "get") > 300
+
+
+def test_cache_parts():
+    from tidelog.functions import cache
+
+    c = cache.Cache(100)
+    assert (c.window_size, c.probation_size, c.protected_size) == (1, 19, 80)
+    assert all(c.set(k) is None for k in range(20)) and [c.get(k) for k in (19, 3, 3, 77)] == ["window", "probation", "protected", None]
+    n = cache.Counters(100)
+    for _ in range(20):
+        n.add(5)
+    assert n.estimate(5) == 15 and n.rows.shape == (4, 128)
+    n.halve()
+    assert n.estimate(5) == 7
+
+
+def test_valid_end_and_scan_from_an_offset(spark, tmp_path):
+    one, two = files.wal_record(b"a", b"1"), files.wal_record(b"b", b"22", 9, 1)
+    (tmp_path / "00003.wal").write_bytes(one + two + two[:-2])
+    got = files.read_records(spark, str(tmp_path), "wal", start=len(one)).collect()
+    assert [(bytes(r["key"]), r["offset"], r["expire_at"], r["fid"]) for r in got] == [(b"b", len(one), 9, 3)]
+    assert [tuple(r) for r in files.valid_ends(spark, str(tmp_path), "wal").collect()] == [(3, len(one) + len(two))]
+
+
+def test_varints_and_widths(spark):
+    from tidelog.functions import codec
+
+    ns = [0, 1, 127, 128, 16383, 16384, 2**31, 2**35 - 1, 2**62]
+    df = spark.createDataFrame([(n,) for n in ns], "n bigint")
+    out = df.select("n", codec.uvarint(F.col("n")).alias("b"), codec.fixed_bytes(F.col("n"), 8, True).alias("le"), codec.next_power(F.col("n")).alias("p"))
+    for r in out.withColumn("back", codec.read_uvarint(F.col("b"))[0]).withColumn("le_back", codec.fixed_number(F.col("le"), 8, True)).collect():
+        assert bytes(r["b"]) == files.uvarint(r["n"]) and r["back"] == r["n"] == r["le_back"] and bytes(r["le"]) == r["n"].to_bytes(8, "little")
+        assert r["p"] == 1 << max(0, r["n"] - 1).bit_length()
+
+
+def test_place_fails_over_32_bits(spark):
+    big_ = spark.createDataFrame([("a", "x", 1), ("b", "y", 2), ("c", "z", 3)], "key string, value string, seq bigint")
+    placed = vlog.place(big_, options=Options(vlog_size=1, vlog_entries=9)).orderBy("seq").collect()
+    assert [(r["fid"], r["offset"]) for r in placed] == [(0, 0), (1, 0), (2, 0)]

@@ -41,3 +41,72 @@ def diff_key(base: Column, key: Column) -> Column:
 
 def recover_key(base: Column, overlap: Column, suffix: Column) -> Column:
     return F.concat(F.substring(base, F.lit(1), overlap.cast("int")), suffix)
+
+
+def _byte(n: Column) -> Column:
+    return F.lpad(F.hex(n), 2, "0")
+
+
+def uvarint(n: Column) -> Column:
+    """A non-negative number as an unsigned LEB128 varint."""
+    parts = []
+    for i in range(9):
+        more = n >= F.lit(1 << 7 * (i + 1)) if i < 8 else F.lit(False)
+        low = F.shiftright(n, 7 * i).bitwiseAND(F.lit(127))
+        parts.append(F.when((n >= F.lit(1 << 7 * i)) | F.lit(i == 0), _byte(F.when(more, low.bitwiseOR(F.lit(128))).otherwise(low))).otherwise(F.lit("")))
+    return F.unhex(F.concat(*parts))
+
+
+def read_uvarint(data: Column) -> tuple[Column, Column]:
+    """(value, bytes) of a varint at the start of a binary."""
+    byte = [F.conv(F.hex(F.substring(data, i + 1, 1)), 16, 10).cast("bigint") for i in range(9)]
+    size = F.lit(9)
+    for i in range(8, 0, -1):
+        size = F.when(byte[i - 1] < 128, F.lit(i)).otherwise(size)
+    value = F.lit(0).cast("bigint")
+    for i in range(9):
+        value = value + F.when(F.lit(i) < size, F.shiftleft(byte[i].bitwiseAND(F.lit(127)), 7 * i)).otherwise(F.lit(0))
+    return value, size
+
+
+def encode_value(value: Column, expire_at: Column, meta: Column) -> Column:
+    """A stored value: varint expiry, the value's bytes, one byte of meta."""
+    return F.concat(uvarint(expire_at), F.coalesce(value.cast("binary"), F.lit(b"")), F.unhex(_byte(meta)))
+
+
+def decode_value(data: Column) -> Column:
+    """(expire_at, value, meta) of a stored value."""
+    expire, size = read_uvarint(data)
+    n = F.octet_length(data)
+    meta = F.conv(F.hex(F.substr(data, n, F.lit(1))), 16, 10).cast("int")
+    return F.struct(expire.alias("expire_at"), F.substr(data, size + 1, n - size - 1).alias("value"), meta.alias("meta"))
+
+
+def fixed_bytes(n: Column, width: int, little: bool = False) -> Column:
+    """An unsigned number in 4 or 8 bytes."""
+    text = F.lpad(F.hex(n), 2 * width, "0")
+    if little:
+        text = F.concat(*(F.substring(text, 2 * i + 1, 2) for i in reversed(range(width))))
+    return F.unhex(text)
+
+
+def fixed_number(data: Column, width: int, little: bool = False) -> Column:
+    text = F.hex(data)
+    if little:
+        text = F.concat(*(F.substring(text, 2 * i + 1, 2) for i in reversed(range(width))))
+    return F.conv(text, 16, 10).cast("bigint")
+
+
+def encode_pointer(length: Column, offset: Column, fid: Column) -> Column:
+    """A value-log pointer: length, offset and file, four little-endian bytes each."""
+    return F.concat(*(fixed_bytes(x, 4, True) for x in (length, offset, fid)))
+
+
+def decode_pointer(data: Column) -> Column:
+    part = [fixed_number(F.substring(data, 4 * i + 1, 4), 4, True) for i in range(3)]
+    return F.struct(part[0].alias("len"), part[1].alias("offset"), part[2].alias("fid"))
+
+
+def next_power(n: Column) -> Column:
+    """The least power of two that is n or more; 1 for 0 and below."""
+    return F.when(n <= 1, F.lit(1)).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(F.bin(n - 1)))).cast("bigint")

@@ -54,14 +54,21 @@ def frequency_sketch(log: DataFrame, key: str = "key", eps: float = 0.001, confi
 
 
 def doorkeeper(log: DataFrame) -> DataFrame:
-    """Whether a key was accessed before."""
-    return log.withColumn("seen_before", F.row_number().over(Window.partitionBy("key").orderBy("seq")) > 1)
+    """Whether a key was accessed before: by its first access, so that a hot key is no task of its own."""
+    first = log.groupBy(F.col("key").alias("_key")).agg(F.min("seq").alias("_first"))
+    return log.join(first, F.col("key") == F.col("_key")).withColumn("seen_before", F.col("seq") > F.col("_first")).drop("_key", "_first")
 
 
-def recency(log: DataFrame) -> DataFrame:
-    """Rank of each key by its last access, the latest first."""
-    last = log.groupBy("key").agg(F.max("seq").alias("last_seq"))
-    return last.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("last_seq"))).cast("bigint"))
+def recency(log: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """Rank of each key by its last access, the latest first.
+
+    Ranks are counted within runs of ``width`` sequence numbers; only a row a run passes through one task.
+    """
+    last = log.groupBy("key").agg(F.max("seq").alias("last_seq")).withColumn("_run", F.floor(F.col("last_seq") / width))
+    runs = last.groupBy(F.col("_run").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    before = runs.select("_r", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_run").orderBy(F.desc("last_seq")))
+    return last.withColumn("_own", own).join(before, F.col("_run") == F.col("_r")).select("key", "last_seq", (F.col("_before") + F.col("_own")).cast("bigint").alias("rank"))
 
 
 def admission(log: DataFrame, size: int) -> DataFrame:

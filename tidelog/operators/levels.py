@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,23 +42,6 @@ def except_files(tables: DataFrame, gone: DataFrame, new: DataFrame) -> DataFram
     return tables.join(gone.select("fid"), "fid", "left_anti").unionByName(new)
 
 
-def compaction_scores(totals: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
-    """Level 0 by number of tables, others by bytes against ``base * multiplier^(level - 1)``; 1 or more wants compaction."""
-    goal = F.lit(float(options.base_level_size)) * F.pow(F.lit(float(options.level_multiplier)), F.greatest(F.col("level") - 1, F.lit(0)))
-    score = F.when(F.col("level") == 0, F.col("tables") / F.lit(float(options.level_zero_tables))).otherwise(F.col("bytes") / goal)
-    return totals.withColumn("score", F.round(score, 9))
-
-
-def level_targets(totals: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
-    """Bottom up: the last level's size is its target, each above has a multiplier's part of it, none below the base level size.
-
-    A closed form for each level over a catalogue of a few rows.
-    """
-    bottom = totals.agg(F.max("level").alias("_last"), F.max_by("bytes", "level").alias("_size"))
-    size = F.greatest(F.floor(F.col("_size") / F.pow(F.lit(float(options.level_multiplier)), F.col("_last") - F.col("level"))), F.lit(options.base_level_size))
-    return totals.crossJoin(bottom).select("level", size.cast("bigint").alias("target"))
-
-
 def order_of_levels(scores: DataFrame) -> DataFrame:
     """Level 0 first, then by score; those of 1 or more."""
     return scores.filter("score >= 1").orderBy(F.col("level") != 0, F.desc("score"), "level")
@@ -85,3 +72,42 @@ def blocks(rows: DataFrame, file: str = "fid", key: str = "key", size: str = "si
     w = Window.partitionBy(file).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(size).over(w), F.lit(0))
     return rows.withColumn("block", F.floor(before / options.block_size).cast("bigint")).groupBy(file, "block").agg(F.min(key).alias("first_key"), F.count(F.lit(1)).cast("bigint").alias("entries"), F.sum(size).cast("bigint").alias("bytes"))
+
+
+def pack_blocks(rows: DataFrame, file: str = "fid", key: str = "key", options: Options = Options()) -> DataFrame:  # noqa: B008
+    """Index of blocks as the writer packs them: (file, block, first_key, entries, bytes), in key order within a file.
+
+    ``size`` is a value's encoded size. An entry that would bring a block over its limit, with its header, whole key,
+    value, place list and trailer, begins the next one; stored are the header, the key past its common prefix with the
+    block's first key, and the value. ``bytes`` is the finished block. A fold over each file's order; keys are strings.
+    """
+    most = options.block_size
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, number, first, entries, used = None, 0, None, 0, 1
+        out: list[tuple] = []
+
+        def close() -> None:
+            if entries:
+                out.append((now, number, first, entries, used + 4 * entries + 12))
+
+        for t in parts:
+            for f, k, size in zip(t[file], t[key], t["size"], strict=True):
+                if f != now:
+                    close()
+                    now, number, first, entries, used = f, 0, None, 0, 1
+                b = k.encode()
+                if entries and used + 4 + len(b) + size + 4 * (entries + 1) + 12 > most:
+                    close()
+                    number, first, entries, used = number + 1, None, 0, 1
+                if first is None:
+                    first = k
+                same = len(os.path.commonprefix([first.encode(), b])) if entries else 0
+                used += 4 + len(b) - same + size
+                entries += 1
+        close()
+        yield pd.DataFrame(out, columns=[file, "block", "first_key", "entries", "bytes"])
+
+    kinds = dict(rows.dtypes)
+    sized = rows.select(file, key, F.col("size").cast("bigint").alias("size"))
+    return sized.repartition(file).sortWithinPartitions(file, key).mapInPandas(fold, f"{file} {kinds[file]}, block bigint, first_key string, entries bigint, bytes bigint")

@@ -18,18 +18,17 @@ def inline_or_pointer(log: DataFrame, threshold: int = Options.value_threshold)
 
 
 def place(large: DataFrame, shards: int = 1, options: Options = Options()) -> DataFrame:  # noqa: B008
-    """fid, offset and len of each record, in ``seq`` order within its shard of the log.
+    """fid, offset and len of each record, in ``seq`` order within its shard of the log; a shard is a writer with files of its own.
 
-    Offsets are a running sum and files are cut by it, so a file is the sum's multiple of the size limit; shards
-    bound a window's rows.
+    The fold sees sequence numbers and sizes only; values stay where they are and meet their places by ``seq``.
+    An offset that 32 bits can't hold fails the job.
     """
-    n = vlog_record_size(size_of("key"), size_of("value"))
-    w = Window.partitionBy("_shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = large.withColumn("len", n).withColumn("_shard", F.pmod("seq", F.lit(shards)))
-    rows = rows.withColumn("_end", F.sum("len").over(w)).withColumn("_start", F.col("_end") - F.col("len"))
-    file = F.floor(F.col("_start") / options.vlog_size)
-    rows = rows.withColumn("fid", (file * shards + F.col("_shard")).cast("bigint"))
-    return rows.withColumn("offset", (F.col("_start") - file * options.vlog_size).cast("bigint")).drop("_shard", "_start", "_end")
+    rows = large.withColumn("_shard", F.pmod("seq", F.lit(shards)))
+    at = rotate_exactly(rows, "_shard", options)
+    fid = (F.col("fid") * shards + F.col("_shard")).cast("bigint")
+    bounded = F.when(F.col("offset") < F.lit(1 << 32), F.col("offset")).otherwise(F.raise_error(F.lit("value log offset over 32 bits")).cast("bigint"))
+    at = at.select(F.col("seq").alias("_seq"), "len", fid.alias("fid"), bounded.alias("offset"))
+    return large.join(at, F.col("seq") == F.col("_seq")).drop("_seq")
 
 
 def rotate_exactly(large: DataFrame, shard: str, options: Options = Options()) -> DataFrame:  # noqa: B008

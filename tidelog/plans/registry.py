@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidelog.functions import codec, sketch
-from tidelog.operators import levels, manifest, merge, read, vlog
+from tidelog.functions import cache, codec, sketch
+from tidelog.operators import compaction, levels, manifest, merge, read, vlog
 from tidelog.sources.log import Options, delete, events_log, put, size_of, snapshot, table, validated
 
 QUERIES: dict = {}
@@ -42,6 +42,11 @@ def kv_get(s, d):
     return orders(s, d).filter("key = 100")
 
 
+@query(f"with {LATEST} select key, value, seq from la where key = 7 and value <> ''")
+def kv_get_logged(s, d):
+    return read.get(events_log(s, d), 7).select("key", "value", "seq")
+
+
 @query(f"with {LATEST} select key, value, seq, expire_at from la where value <> ''")
 def kv_latest_live(s, d):
     return read.live(events_log(s, d))
@@ -191,7 +196,8 @@ def kv_subcompact(s, d):
 DOCS = "docs as (select doc_id::bigint as key, text as value, doc_id::bigint as seq, coalesce(octet_length(encode(text)), 0)::bigint as n from documents)"
 VLEN = "case when n < 128 then 1 when n < 16384 then 2 when n < 2097152 then 3 when n < 268435456 then 4 else 5 end"
 KLEN = "length(key::varchar)"
-PLACED = f"{DOCS}, big as (select *, (1 + {VLEN} + {KLEN} + n + 4)::bigint as len from docs where n >= 100), run as (select *, (sum(len) over (order by seq rows unbounded preceding) - len)::bigint as start from big), placed as (select key, seq, len, (start // 16777216)::bigint as fid, (start % 16777216)::bigint as off from run)"
+LOG = Options(vlog_size=1 << 16, vlog_entries=50)
+PLACED = f"{DOCS}, big as (select *, (1 + {VLEN} + {KLEN} + n + 4)::bigint as len, row_number() over (order by seq) as rn from docs where n >= 100), fold as (select rn, key, len, 0::bigint as fid, 0::bigint as off, len as used, 1 as cnt from big where rn = 1 union all select b.rn, b.key, b.len, case when f.used > 65536 or f.cnt > 50 then f.fid + 1 else f.fid end, case when f.used > 65536 or f.cnt > 50 then 0 else f.used end, case when f.used > 65536 or f.cnt > 50 then b.len else f.used + b.len end, case when f.used > 65536 or f.cnt > 50 then 1 else f.cnt + 1 end from fold f join big b on b.rn = f.rn + 1)"
 
 
 def doc_log(s, d):
@@ -207,14 +213,14 @@ def kv_separation(s, d):
     return vlog.inline_or_pointer(doc_log(s, d)).select("key", big("meta"), size_of("value").alias("n"))
 
 
-@query(f"with {PLACED} select key, off as \"offset\", len from placed")
+@query(f"with recursive {PLACED} select key, fid, off as \"offset\", len from fold")
 def vlog_offsets(s, d):
-    return vlog.place(keyed(vlog.inline_or_pointer(doc_log(s, d)).filter("meta = 1"))).select(big("key"), "offset", "len")
+    return vlog.place(keyed(vlog.inline_or_pointer(doc_log(s, d)).filter("meta = 1")), options=LOG).select(big("key"), "fid", "offset", "len")
 
 
-@query(f"with {PLACED} select fid, count(*)::bigint as records, sum(len)::bigint as bytes from placed group by fid")
+@query(f"with recursive {PLACED} select fid, count(*)::bigint as records, sum(len)::bigint as bytes from fold group by fid")
 def vlog_files(s, d):
-    return vlog.place(keyed(vlog.inline_or_pointer(doc_log(s, d)).filter("meta = 1"))).groupBy("fid").agg(F.count(F.lit(1)).cast("bigint").alias("records"), F.sum("len").cast("bigint").alias("bytes"))
+    return vlog.place(keyed(vlog.inline_or_pointer(doc_log(s, d)).filter("meta = 1")), options=LOG).groupBy("fid").agg(F.count(F.lit(1)).cast("bigint").alias("records"), F.sum("len").cast("bigint").alias("bytes"))
 
 
 @query("select doc_id::bigint as key, text as value from documents")
@@ -290,7 +296,6 @@ def levelled(s, d):
 
 
 LEVELS = "t as (select (l_linenumber - 1)::int as level, l_orderkey % 4 as fid, (count(*) * 100)::bigint as size_bytes from lineitem group by 1, 2), lv as (select level, count(*)::bigint as tables, sum(size_bytes)::bigint as bytes from t group by level)"
-SMALL = Options(base_level_size=1 << 16, level_multiplier=10)
 
 
 @query(f"with {LEVELS} select level, tables, bytes from lv")
@@ -298,19 +303,120 @@ def level_totals(s, d):
     return levels.level_totals(levelled(s, d))
 
 
-@query(f"with {LEVELS} select level, round(case when level = 0 then tables / 5.0::double else bytes / (65536.0::double * pow(10.0::double, level - 1)) end, 9)::double as score from lv")
+LAST = 6
+TOP = Options(base_level_size=1 << 14, level_multiplier=10, levels=LAST + 1, memtable_size=1 << 15)
+GOALS = f"{LEVELS}, goal as (select i::int as level, greatest(floor(coalesce((select bytes from lv where level = {LAST}), 0) / pow(10.0::double, {LAST} - i)), 16384)::bigint as target, coalesce((select bytes from lv where level = i), 0) as bytes from range(0, {LAST + 1}) r(i))"
+SCORES = f"busy as (select * from t where fid = 1), sc as (select level, round(case when level = 0 then coalesce((select tables from lv where level = 0), 0) / 5.0::double else (bytes - coalesce((select sum(size_bytes) from busy where busy.level = goal.level), 0))::double / target end, 9)::double as score from goal)"
+
+
+@query(f"with {GOALS}, {SCORES} select level, score from sc")
 def compaction_score(s, d):
-    return levels.compaction_scores(levels.level_totals(levelled(s, d)), SMALL).select("level", "score")
+    t = levelled(s, d)
+    return compaction.scores(t, t.filter("fid = 1"), TOP)
 
 
-@query(f"with {LEVELS}, b as (select max(level) as last, arg_max(bytes, level) as size from lv) select level, greatest(floor(size / pow(10.0::double, last - level)), 65536)::bigint as target from lv, b")
+# the last level is always the base here: the sizes above it only decide where it is empty
+@query(f"with {GOALS} select level, case when level > 0 then target end as level_target, case when level = 0 then 32768 else 8388608 end::bigint as file_target, {LAST}::bigint as base_level from goal")
 def level_targets(s, d):
-    return levels.level_targets(levels.level_totals(levelled(s, d)), SMALL)
+    return compaction.targets(levels.level_totals(levelled(s, d)), TOP)
 
 
-@query(f"with {LEVELS}, sc as (select level, round(case when level = 0 then tables / 5.0::double else bytes / (65536.0::double * pow(10.0::double, level - 1)) end, 9)::double as score from lv) select level, score from sc where score >= 1")
+@query(f"with {GOALS}, {SCORES} select level, score from sc where score >= 1")
 def compaction_order(s, d):
-    return levels.order_of_levels(levels.compaction_scores(levels.level_totals(levelled(s, d)), SMALL)).select("level", "score")
+    t = levelled(s, d)
+    return levels.order_of_levels(compaction.scores(t, t.filter("fid = 1"), TOP))
+
+
+@query(f"with {LEVELS} select level, fid, row_number() over (partition by level order by case when level = 0 then fid else (select min(l_orderkey) from lineitem where l_linenumber - 1 = t.level and l_orderkey % 4 = t.fid) end, fid)::bigint as pos from t")
+def level_order(s, d):
+    return compaction.level_sort(levelled(s, d)).select("level", "fid", "pos")
+
+
+STORE = "store as (select n_nationkey::bigint as fid, case when n_nationkey < 8 then 0 when n_nationkey < 15 then 1 else 2 end::int as level, (n_nationkey * 100 + 50)::bigint as size_bytes, case when n_nationkey < 8 then n_nationkey * 6 when n_nationkey < 15 then (n_nationkey - 8) * 20 else (n_nationkey - 15) * 15 end::bigint as min_key, case when n_nationkey < 8 then n_nationkey * 6 + 9 when n_nationkey < 15 then (n_nationkey - 8) * 20 + 12 else (n_nationkey - 15) * 15 + 9 end::bigint as max_key from nation)"
+
+
+def store(s, d):
+    n = F.col("n_nationkey").cast("bigint")
+    low = F.when(n < 8, n * 6).when(n < 15, (n - 8) * 20).otherwise((n - 15) * 15)
+    wide = F.when(n < 8, 9).when(n < 15, 12).otherwise(9)
+    return table(s, d, "nation").select(n.alias("fid"), F.when(n < 8, 0).when(n < 15, 1).otherwise(2).alias("level"), (n * 100 + 50).alias("size_bytes"), low.alias("min_key"), (low + wide).alias("max_key"))
+
+
+L0 = Options(memtable_size=600, level_zero_tables=5)
+MEETS = "{0}.min_key <= {1}.max_key and {0}.max_key >= {1}.min_key"
+
+
+@query(f"with {STORE} select fid, level, 'top' as role from store where level = 0 and size_bytes < 540 and fid <> 2 and (select count(*) from store where level = 0 and size_bytes < 540 and fid <> 2) >= 4")
+def fill_l0_l0(s, d):
+    t = store(s, d)
+    return compaction.fill_l0_l0(t, t.filter("fid = 2"), L0)
+
+
+@query(f"with {STORE}, r as (select min(min_key) as min_key, max(max_key) as max_key from store where level = 0) select fid, level, case level when 0 then 'top' else 'bot' end as role from store where level = 0 or (level = 1 and exists (select 1 from r where {MEETS.format('store', 'r')}))")
+def fill_l0(s, d):
+    t = store(s, d)
+    return compaction.fill_l0(t, t.filter("fid = 99"), 1, Options(memtable_size=100, level_zero_tables=5))
+
+
+FILLED = f"{STORE}, busy as (select * from store where fid in (8, 16)), able as (select * from store where level = 1 and not exists (select 1 from busy where busy.level = 1 and {MEETS.format('store', 'busy')})), held as (select a.fid, min(b.min_key) as min_key, max(b.max_key) as max_key from able a join store b on b.level = 2 and {MEETS.format('a', 'b')} group by a.fid), top as (select * from able where fid not in (select h.fid from held h join busy on busy.level = 2 and {MEETS.format('h', 'busy')}) order by min_key, fid limit 1), filled as (select fid, level, 'top' as role from top union all select b.fid, b.level, 'bot' from store b, top where b.level = 2 and {MEETS.format('b', 'top')})"
+
+
+@query(f"with {FILLED} select fid, level, role from filled")
+def fill_ln(s, d):
+    t = store(s, d)
+    return compaction.fill_ln(t, t.filter("fid in (8, 16)"), 1)
+
+
+def compacted(s, d):
+    filled = fill_ln(s, d)
+    new = s.createDataFrame([(100, 0, 0, 30), (101, 0, 31, 60)], "fid bigint, size_bytes bigint, min_key bigint, max_key bigint")
+    return compaction.commit_changes(filled, new, 2), new
+
+
+@query(f"with {FILLED} select fid, 'DELETE' as op, null::int as level from filled union all select unnest([100, 101])::bigint, 'CREATE', 2")
+def commit_changes(s, d):
+    return compacted(s, d)[0]
+
+
+@query(f"with {FILLED} select fid, level, min_key, max_key from store where fid not in (select fid from filled) union all select 100, 2, 0, 30 union all select 101, 2, 31, 60")
+def do_compact(s, d):
+    changes, new = compacted(s, d)
+    return compaction.committed(store(s, d), changes, new).select("fid", "level", "min_key", "max_key")
+
+
+WANTED = "wanted as (select o_orderkey::bigint % 150 as key from orders where o_orderkey % 7 = 0)"
+
+
+@query(f"with {STORE}, {WANTED}, k as (select distinct key from wanted) select k.key, fid, level, row_number() over (partition by k.key order by level, fid desc)::bigint as turn from store join k on k.key between min_key and max_key")
+def ln_get(s, d):
+    return compaction.lookup_tables(store(s, d), orders(s, d).filter("key % 7 = 0").select((F.col("key") % 150).alias("key")))
+
+
+STORED = "stored as (select store.fid, o.key, o.key * 1000 + store.fid as value from store join (select o_orderkey::bigint as key from orders) o on o.key between min_key and max_key where (o.key + store.fid) % 3 <> 0)"
+
+
+@query(f"with {STORE}, {STORED}, r as (select s.*, row_number() over (partition by s.key order by store.level, s.fid desc) as rn, store.level from stored s join store on s.fid = store.fid where s.key % 2 = 0) select key, fid, value, level from r where rn = 1")
+def level_get(s, d):
+    t = store(s, d)
+    o = orders(s, d).select("key")
+    rows = t.join(o, F.col("key").between(F.col("min_key"), F.col("max_key"))).filter((F.col("key") + F.col("fid")) % 3 != 0).select("fid", "key", (F.col("key") * 1000 + F.col("fid")).alias("value"))
+    return compaction.level_get(rows, t, o.filter("key % 2 = 0")).select("key", "fid", "value", "level")
+
+
+SPANS = "sp as (select n_nationkey::bigint as id, case when n_nationkey % 5 = 0 then null else n_nationkey * 3 end::bigint as l, case when n_nationkey % 5 = 0 then null else n_nationkey * 3 + 7 end::bigint as r, n_nationkey % 10 = 5 as inf from nation), e as (select *, l is null and r is null and not inf as none from sp)"
+
+
+@query(f"with {SPANS} select a.id as a, b.id as b, case when a.none then true when b.none then false when a.inf or b.inf then true else coalesce(not (a.l > b.r or a.r < b.l), true) end as meet, (a.l is not distinct from b.l and a.r is not distinct from b.r and a.inf = b.inf) as same, least(a.l, b.l) as l, greatest(a.r, b.r) as r, (a.inf or b.inf) as inf, (case when a.none then 'none' when a.inf then 'all' else '[left=' || lower(hex(a.l::varchar)) || ', right=' || lower(hex(a.r::varchar)) || ', inf=false]' end) as text from e a join e b on abs(a.id - b.id) < 4")
+def range_rules(s, d):
+    n = F.col("n_nationkey").cast("bigint")
+    some = n % 5 != 0
+    sp = table(s, d, "nation").select(n.alias("id"), compaction.key_span(F.when(some, n * 3), F.when(some, n * 3 + 7), n % 10 == 5).alias("sp"))
+    a, b = sp.select(F.col("id").alias("a"), F.col("sp").alias("x")), sp.select(F.col("id").alias("b"), F.col("sp").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    both = a.join(b, F.abs(F.col("a") - F.col("b")) < 4)
+    u = compaction.span_union(x, y)
+    text = F.when(compaction.is_empty(x), "none").when(x["inf"], "all").otherwise(compaction.span_text(x))
+    return both.select("a", "b", compaction.spans_meet(x, y).alias("meet"), compaction.spans_equal(x, y).alias("same"), u["left"].alias("l"), u["right"].alias("r"), u["inf"].alias("inf"), text.alias("text"))
 
 
 RANGES = "a as (select n_nationkey::bigint as fid, n_nationkey::bigint * 10 as min_key, n_nationkey::bigint * 10 + 14 as max_key from nation)"
@@ -356,9 +462,44 @@ def except_files(s, d):
     return levels.except_files(t, t.filter("fid in (1, 2)"), s.createDataFrame([(100, 10, 34)], "fid bigint, min_key bigint, max_key bigint"))
 
 
-@query("with o as (select (o_custkey % 15)::bigint as fid, o_orderkey::bigint as key from orders), r as (select *, ((row_number() over (partition by fid order by key) - 1) * 40 // 512)::bigint as block from o) select fid, block, min(key) as first_key, count(*)::bigint as entries, (count(*) * 40)::bigint as bytes from r group by fid, block")
+PACKED = "o as (select (o_custkey % 15)::bigint as fid, lpad(o_orderkey::varchar, 10, '0') as key, 40 as size from orders), n as (select *, row_number() over (partition by fid order by key) as rn from o), pre as (select a.fid, a.rn, coalesce((select max(i) from range(1, 11) t(i) where substr(a.key, 1, i) = substr(b.key, 1, i)), 0) as same, b.rn as base from n a join n b on a.fid = b.fid and b.rn <= a.rn and b.rn > a.rn - 12), fold as (select fid, rn, key, 0::bigint as block, key as first_key, rn as base, 1::bigint as entries, (1 + 4 + length(key) + size)::bigint as used from n where rn = 1 union all select n.fid, n.rn, n.key, case when w.over then f.block + 1 else f.block end, case when w.over then n.key else f.first_key end, case when w.over then n.rn else f.base end, case when w.over then 1 else f.entries + 1 end, case when w.over then 1 + 4 + length(n.key) + n.size else f.used + 4 + length(n.key) - p.same + n.size end from fold f join n on n.fid = f.fid and n.rn = f.rn + 1 join pre p on p.fid = n.fid and p.rn = n.rn and p.base = f.base, lateral (select f.used + 4 + length(n.key) + n.size + 4 * (f.entries + 1) + 12 > 512 as over) w)"
+
+
+@query(f"with recursive {PACKED} select fid, block, min(first_key) as first_key, max(entries)::bigint as entries, (max(used) + 4 * max(entries) + 12)::bigint as bytes from fold group by fid, block")
 def block_index(s, d):
-    return levels.blocks(orders(s, d).withColumn("fid", F.col("cust") % 15).withColumn("size", F.lit(40)))
+    rows = orders(s, d).select((F.col("cust") % 15).alias("fid"), F.lpad(F.col("key").cast("string"), 10, "0").alias("key"), F.lit(40).alias("size"))
+    return levels.pack_blocks(rows)
+
+
+# ---- stored values, pointers, fixed widths
+
+NUM = "(o_orderkey::bigint * 977)"
+LEB = f"case when {NUM} < 128 then printf('%02X', {NUM}) when {NUM} < 16384 then printf('%02X%02X', {NUM} % 128 + 128, {NUM} // 128) when {NUM} < 2097152 then printf('%02X%02X%02X', {NUM} % 128 + 128, ({NUM} // 128) % 128 + 128, {NUM} // 16384) else printf('%02X%02X%02X%02X', {NUM} % 128 + 128, ({NUM} // 128) % 128 + 128, ({NUM} // 16384) % 128 + 128, {NUM} // 2097152) end"
+
+
+@query(f"select o_orderkey::bigint as key, ({LEB}) || hex(encode(o_orderstatus)) || printf('%02X', o_custkey % 2) as stored, {NUM} as expire_at, o_orderstatus as value, (o_custkey % 2)::int as meta from orders")
+def value_codec(s, d):
+    o = orders(s, d)
+    stored = codec.encode_value(F.col("status"), F.col("key") * 977, (F.col("cust") % 2).cast("int"))
+    back = o.select("key", stored.alias("b")).select("key", "b", codec.decode_value(F.col("b")).alias("v"))
+    return back.select("key", F.hex("b").alias("stored"), "v.expire_at", F.col("v.value").cast("string").alias("value"), "v.meta")
+
+
+LE = "printf('%02X%02X%02X%02X', {0} % 256, ({0} // 256) % 256, ({0} // 65536) % 256, {0} // 16777216)"
+
+
+@query(f"select o_orderkey::bigint as key, {LE.format('o_custkey::bigint')} || {LE.format('(o_orderkey::bigint * 7919)')} || {LE.format('(o_orderkey::bigint % 50)')} as pointer, o_custkey::bigint as len, (o_orderkey * 7919)::bigint as \"offset\", (o_orderkey % 50)::bigint as fid from orders")
+def pointer_codec(s, d):
+    o = orders(s, d)
+    p = o.select("key", codec.encode_pointer(F.col("cust"), F.col("key") * 7919, F.col("key") % 50).alias("p"))
+    return p.select("key", F.hex("p").alias("pointer"), codec.decode_pointer(F.col("p")).alias("v")).select("key", "pointer", "v.*")
+
+
+@query("select o_orderkey::bigint as key, printf('%08X', o_orderkey) as be, printf('%016X', o_orderkey::bigint * 1000003) as be8, o_orderkey::bigint as back, case when o_orderkey <= 1 then 1 else pow(2, length(bin(o_orderkey::bigint - 1))) end::bigint as power from orders")
+def number_codec(s, d):
+    o = orders(s, d).select("key")
+    be = codec.fixed_bytes(F.col("key"), 4)
+    return o.select("key", F.hex(be).alias("be"), F.hex(codec.fixed_bytes(F.col("key") * 1000003, 8)).alias("be8"), codec.fixed_number(be, 4).alias("back"), codec.next_power(F.col("key")).alias("power"))
 
 
 # ---- catalogue
@@ -410,22 +551,30 @@ def manifest_dir_diff(s, d):
 def bloom_params(s, d):
     rows = [(fp, sketch.bits_per_key(fp), sketch.num_hashes(sketch.bits_per_key(fp))) for fp in (0.1, 0.0125, 0.01, 0.001)]
     t = s.createDataFrame(rows, "fp double, bits bigint, hashes bigint")
-    return t.withColumn("bytes", F.floor((F.greatest(F.lit(64), F.col("bits") * 1000) + 7) / 8).cast("bigint"))
+    return t.withColumn("bytes", sketch.num_bytes(F.lit(1000), F.col("bits")))
 
 
 H = "(key * 2654435761) % 4294967296"
-BLOOM = f"k as (select o_orderkey::bigint as key from orders), h as (select key, {H} as h, ({H} // 131072 + ({H} * 32768) % 4294967296) % 4294967296 as t from k), p as (select key, (((h + i * t) % 4294967296) % 100003)::bigint as pos from h, range(0, 6) r(i))"
+BLOOM = f"k as (select o_orderkey::bigint as key from orders), h as (select key, {H} as h, ({H} // 131072 + ({H} * 32768) % 4294967296) % 4294967296 as t from k), p as (select key, (((h + i * t) % 4294967296) % (select greatest(64, 10 * count(*)) from orders))::bigint as pos from h, range(0, 6) r(i))"
+
 
+def bloom_of(s, d):
+    """Keys with the number of bits their number asks for; the number is a row of its own, joined to all."""
+    o = orders(s, d).select("key")
+    bits = o.agg(F.greatest(F.lit(64), 10 * F.count(F.lit(1))).alias("bits"))
+    return o.crossJoin(bits)
 
-@query(f"with {BLOOM} select distinct pos from p where key % 2 = 0")
+
+@query(f"with {BLOOM} select distinct pos from p")
 def bloom_build(s, d):
-    return sketch.bloom_build(orders(s, d).filter("key % 2 = 0"), 6, F.lit(100003))
+    return sketch.bloom_build(bloom_of(s, d), 6, F.col("bits"))
 
 
-@query(f"with {BLOOM}, b as (select distinct pos from p where key % 2 = 0), q as (select distinct key, pos from p) select q.key, bool_and(b.pos is not null) as may_contain from q left join b on q.pos = b.pos group by q.key")
+@query(f"with {BLOOM}, f as (select distinct pos from p), k2 as (select key from k union all select key + 10000000 from k), h2 as (select key, {H} as h, ({H} // 131072 + ({H} * 32768) % 4294967296) % 4294967296 as t from k2), q as (select distinct key, (((h + i * t) % 4294967296) % (select greatest(64, 10 * count(*)) from orders))::bigint as pos from h2, range(0, 6) r(i)) select q.key, bool_and(f.pos is not null) as may_contain from q left join f on q.pos = f.pos group by q.key")
 def bloom_probe(s, d):
-    o = orders(s, d)
-    return sketch.bloom_probe(o, sketch.bloom_build(o.filter("key % 2 = 0"), 6, F.lit(100003)), 6, F.lit(100003))
+    o = bloom_of(s, d)
+    asked = o.unionByName(o.withColumn("key", F.col("key") + 10000000))
+    return sketch.bloom_probe(asked, sketch.bloom_build(o, 6, F.col("bits")), 6, F.col("bits"))
 
 
 def access_log(s, d):
@@ -447,6 +596,11 @@ def doorkeeper(s, d):
     return sketch.doorkeeper(access_log(s, d))
 
 
+@query(None)
+def cache_replay(s, d):
+    return cache.replay(access_log(s, d), 100, shards=1)
+
+
 @query(f"with {EVENTS} select key, max(seq) as last_seq, row_number() over (order by max(seq) desc) as rank from ev group by key")
 def lru_recency(s, d):
     return sketch.recency(access_log(s, d))

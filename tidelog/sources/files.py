@@ -46,9 +46,9 @@ def vlog_record(key: bytes, value: bytes) -> bytes:
     return body + crc32c(body).to_bytes(4, "little")
 
 
-def records(data: bytes, fields: int, longest_key: int = 1 << 16) -> Iterator[tuple]:
-    """(offset, length, key, value, other header fields) of each whole record."""
-    at = 0
+def records(data: bytes, fields: int, longest_key: int = 1 << 16, start: int = 0) -> Iterator[tuple]:
+    """(offset, length, key, value, other header fields) of each whole record from ``start`` on."""
+    at = start
     while at < len(data):
         try:
             head, place = [], at
@@ -66,9 +66,9 @@ def records(data: bytes, fields: int, longest_key: int = 1 << 16) -> Iterator[tu
         at = end + 4
 
 
-def _rows(batches: Iterator[pa.RecordBatch], wal: bool) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], wal: bool, start: int = 0) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = [(path, *r) for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True) for r in records(data, 4 if wal else 2)]
+        out = [(path, *r) for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True) for r in records(data, 4 if wal else 2, start=start)]
         cols = [pa.array([r[i] for r in out], t) for i, t in ((0, pa.string()), (1, pa.int64()), (2, pa.int64()), (3, pa.binary()), (4, pa.binary()))]
         names = ["path", "offset", "len", "key", "value"]
         if wal:
@@ -77,15 +77,28 @@ def _rows(batches: Iterator[pa.RecordBatch], wal: bool) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays(cols, names)
 
 
-def read_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Rows of .wal or .vlog files: fid from the name, offset and length in the file, the record's fields.
+def valid_ends(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(fid, valid_end): where the whole records of each file end; what follows is a torn tail to cut off."""
+    fields = 4 if kind == "wal" else 2
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            last = [max((r[0] + r[1] for r in records(x, fields)), default=0) for x in b.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(last, pa.int64())], ["path", "valid_end"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").load(path).select("path", "content")
+    return files.mapInArrow(ends, "path string, valid_end bigint").select(fid_of(F.col("path")).alias("fid"), "valid_end")
+
+
+def read_records(spark: SparkSession, path: str, kind: str, start: int = 0) -> DataFrame:
+    """Rows of .wal or .vlog files from an offset on: fid from the name, offset and length in the file, the record's fields.
 
     A file is one task's work; logs rotate at a bounded size.
     """
     wal = kind == "wal"
     more = ", meta int, expire_at bigint" if wal else ""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").load(path).select("path", "content")
-    out = files.mapInArrow(lambda it: _rows(it, wal), f"path string, offset bigint, len bigint, key binary, value binary{more}")
+    out = files.mapInArrow(lambda it: _rows(it, wal, start), f"path string, offset bigint, len bigint, key binary, value binary{more}")
     return out.withColumn("fid", fid_of(F.col("path"))).drop("path")
 
 
