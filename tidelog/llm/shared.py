@@ -20,12 +20,14 @@ GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from the session; a temporary one only where it is unset."""
+    """The folder all executors share, from the session. Where it is unset, a temporary one in local mode, and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = got.get() if got.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.sparkContext.setCheckpointDir(path)
     return path
