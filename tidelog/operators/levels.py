@@ -67,13 +67,6 @@ def split_bounds(tables: DataFrame, parts: int = 5, least: int = 3) -> DataFrame
     return ends.select(F.lag("max_key").over(Window.orderBy("_n")).alias("left"), right.alias("right"))
 
 
-def blocks(rows: DataFrame, file: str = "fid", key: str = "key", size: str = "size", options: Options = Options()) -> DataFrame:  # noqa: B008
-    """Index of blocks of about ``block_size`` bytes in each file: first key, entries, bytes, by running sum."""
-    w = Window.partitionBy(file).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(size).over(w), F.lit(0))
-    return rows.withColumn("block", F.floor(before / options.block_size).cast("bigint")).groupBy(file, "block").agg(F.min(key).alias("first_key"), F.count(F.lit(1)).cast("bigint").alias("entries"), F.sum(size).cast("bigint").alias("bytes"))
-
-
 def pack_blocks(rows: DataFrame, file: str = "fid", key: str = "key", options: Options = Options()) -> DataFrame:  # noqa: B008
     """Index of blocks as the writer packs them: (file, block, first_key, entries, bytes), in key order within a file.
 

@@ -462,7 +462,9 @@ def except_files(s, d):
     return levels.except_files(t, t.filter("fid in (1, 2)"), s.createDataFrame([(100, 10, 34)], "fid bigint, min_key bigint, max_key bigint"))
 
 
-PACKED = "o as (select (o_custkey % 15)::bigint as fid, lpad(o_orderkey::varchar, 10, '0') as key, 40 as size from orders), n as (select *, row_number() over (partition by fid order by key) as rn from o), pre as (select a.fid, a.rn, coalesce((select max(i) from range(1, 11) t(i) where substr(a.key, 1, i) = substr(b.key, 1, i)), 0) as same, b.rn as base from n a join n b on a.fid = b.fid and b.rn <= a.rn and b.rn > a.rn - 12), fold as (select fid, rn, key, 0::bigint as block, key as first_key, rn as base, 1::bigint as entries, (1 + 4 + length(key) + size)::bigint as used from n where rn = 1 union all select n.fid, n.rn, n.key, case when w.over then f.block + 1 else f.block end, case when w.over then n.key else f.first_key end, case when w.over then n.rn else f.base end, case when w.over then 1 else f.entries + 1 end, case when w.over then 1 + 4 + length(n.key) + n.size else f.used + 4 + length(n.key) - p.same + n.size end from fold f join n on n.fid = f.fid and n.rn = f.rn + 1 join pre p on p.fid = n.fid and p.rn = n.rn and p.base = f.base, lateral (select f.used + 4 + length(n.key) + n.size + 4 * (f.entries + 1) + 12 > 512 as over) w)"
+# of keys of ten characters
+SAME = " + ".join(f"(substr(n.key, 1, {i}) = substr(f.first_key, 1, {i}))::int" for i in range(1, 11))
+PACKED = f"o as (select (o_custkey % 15)::bigint as fid, lpad(o_orderkey::varchar, 10, '0') as key, 40 as size from orders), n as (select *, row_number() over (partition by fid order by key) as rn from o), fold as (select fid, rn, key, 0::bigint as block, key as first_key, 1::bigint as entries, (1 + 4 + length(key) + size)::bigint as used from n where rn = 1 union all select n.fid, n.rn, n.key, case when w.over then f.block + 1 else f.block end, case when w.over then n.key else f.first_key end, case when w.over then 1 else f.entries + 1 end, case when w.over then 1 + 4 + length(n.key) + n.size else f.used + 4 + length(n.key) - ({SAME}) + n.size end from fold f join n on n.fid = f.fid and n.rn = f.rn + 1, lateral (select f.used + 4 + length(n.key) + n.size + 4 * (f.entries + 1) + 12 > 512 as over) w)"
 
 
 @query(f"with recursive {PACKED} select fid, block, min(first_key) as first_key, max(entries)::bigint as entries, (max(used) + 4 * max(entries) + 12)::bigint as bytes from fold group by fid, block")
