@@ -112,7 +112,6 @@ def test_lines_against_brute_force(docs):
     assert got.keys() == want.keys() and sum(got[k] != want[k] for k in want) <= len(want) // 500
 
 
-@pytest.mark.parametrize("block", [512, 32])
 def classes_of(spark, texts, **options):
     got = lines.line_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **options)
     return {r["_id"]: r["_class_id"] for r in got.collect()}
@@ -156,8 +155,8 @@ def test_lines_by_every_character(spark, docs):
     got = lines.drop_lines(spark.createDataFrame(list(enumerate(apart)), "doc_id long, text string")).collect()
     assert {r["doc_id"] for r in got} == set(range(len(apart)))
     texts = [x for (x,) in docs.select("text").filter("text is not null").limit(20).collect()] + ["x" * 8, "y" * 9, "z" * 10, "ab" * 68, "é🙂" * 200]
-    rows = lines.stash(spark.createDataFrame([(x,) for x in texts], "_line string").withColumn("u", lines.units()))
-    full = rows.select("_line", F.array_distinct(lines.hashes_of("u", 9)).alias("s")).collect()
+    rows = lines.stash(spark.createDataFrame([(x,) for x in texts], "_line string"))
+    full = rows.select("_line", F.array_distinct(lines.hashes_of("_line", 9)).alias("s")).collect()
     assert all(len(r["s"]) == len(line_set(r["_line"])) for r in full)
     seen = lines.hashed(rows, 9).select("_k", F.explode(F.array(*(f"_h{i}" for i in range(4)))).alias("_h")).groupBy("_k").agg(F.collect_set("_h").alias("h")).collect()
     assert {frozenset(r["h"]) for r in seen} == {frozenset(r["s"]) for r in full}
