@@ -228,6 +228,21 @@ def test_urls(spark):
     got = {r["page_id"]: r["_verdict"] and (r["_verdict"]["action"], r["_verdict"]["key"]) for r in urls.url_filter(caps, lists).collect()}
     assert got == {1: ("release", "a.example.com/x"), 2: ("block", "example.com"), 3: ("block", "a.example.com"), 4: None, 5: None, 6: None, 7: None}
     assert {r["_verdict"] for r in urls.url_filter(caps, lists.limit(0)).collect()} == {None}
+    assert urls.url_filter(caps.limit(0), lists).count() == 0
+
+
+def test_urls_long_histories_and_clashing_names(spark):
+    # every third day changes the host's state; rows repeat; a column of each inner name
+    lists = spark.range(0, 3000, 3).selectExpr("'a.example.com' as key", "id as day", "if(id % 2 = 0, 'block', 'release') as action")
+    clash = ["_host", "_first", "_h", "_f", "_day", "_key", "_row", "_rank", "_last", "key", "action"]
+    caps = spark.range(0, 4000).selectExpr("'http://a.example.com/' as url", "id div 2 * 2 as day", *(f"'{c}' as {c}" for c in clash), "1 as _verdict")
+    out = urls.url_filter(caps, lists)
+    assert out.columns == ["url", "day", *clash, "_verdict"]
+    got = out.collect()
+    assert len(got) == 4000 and all(r[c] == c for r in got for c in clash)
+    for r in got:
+        since = min(r["day"] // 3 * 3, 2997)
+        assert tuple(r["_verdict"]) == ("block" if since % 2 == 0 else "release", "a.example.com", since)
 
 
 def test_sql(spark, sf):

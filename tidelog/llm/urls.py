@@ -4,12 +4,16 @@ A list is a log of dated entries (key, day, action); a key is a host, a parent d
 first path segment. Entries become validity intervals, and every capture is judged by the entries
 that are active on the day it was fetched; the most specific key with an active entry decides.
 
-Histories are gathered by key (a row a key, however many captures it has) and joined to the
-distinct keys of hosts, so a host with a third of all captures costs one history. The as-of step
-picks from a capture's histories the interval that holds its day.
-
-Defined cases: a URL without a host, empty or null, has verdict 'none'; a null day too; two entries
-of a key on one day: 'block' wins; an empty list leaves every verdict 'none'.
+The as-of join sorts, for each key, the distinct days it is asked for together with the starts of its
+intervals and carries the last interval forward. A key has at most a row for each day and entry there,
+so a host with a third of all captures costs no more than its days, and histories never travel with
+captures. Captures meet their verdicts by host, segment and day.
+
+Defined cases: a URL without a host, empty or null, has verdict null; a null day too; two entries
+of a key on one day: 'block' wins; entries without a key or a day say nothing; an empty list leaves
+every verdict null; an empty table of captures gives an empty result; long URLs are taken whole;
+captures that repeat are judged each. Other columns, whatever their names, stay as they are, but for
+a column _verdict, which is replaced.
 """
 
 from __future__ import annotations
@@ -45,16 +49,20 @@ def intervals(entries: DataFrame) -> DataFrame:
 def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "day") -> DataFrame:
     """All columns of ``captures`` and a struct _verdict(action, key, since)."""
     spans = intervals(entries)
-    history = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("since", "until", "action"))).alias("_history"))
-    rows = captures.withColumn("_host", F.coalesce(host_of(F.col(url)), F.lit(""))).withColumn("_first", F.coalesce(path_key(F.col(url)), F.lit("")))
-    places = rows.select("_host", "_first").distinct()
-    listed = places.withColumn("_keys", keys_of(F.col("_host"), F.col("_first"))).select("_host", "_first", F.posexplode("_keys").alias("_rank", "key")).join(history, "key")
-    known = listed.groupBy("_host", "_first").agg(F.sort_array(F.collect_list(F.struct("_rank", "key", "_history"))).alias("_lists"))
-    known = known.select(F.col("_host").alias("_h"), F.col("_first").alias("_f"), "_lists")
-    joined = rows.join(known, (F.col("_host") == F.col("_h")) & (F.col("_first") == F.col("_f")), "left")
-    active = lambda s: (s["since"] <= F.col(day)) & (s["until"].isNull() | (s["until"] > F.col(day)))
-    hits = F.flatten(F.transform("_lists", lambda x: F.transform(F.filter(x["_history"], active), lambda s: F.struct(s["action"].alias("action"), x["key"].alias("key"), s["since"].alias("since")))))
-    return joined.withColumn("_verdict", F.try_element_at(hits, F.lit(1))).drop("_host", "_first", "_h", "_f", "_lists")
+    rows = captures.select(F.struct(*(F.col(f"`{c}`") for c in captures.columns)).alias("_row"))
+    at = F.col(f"_row.`{url}`")
+    rows = rows.select("_row", F.coalesce(host_of(at), F.lit("")).alias("_host"), F.coalesce(path_key(at), F.lit("")).alias("_first"), F.col(f"_row.`{day}`").alias("_day"))
+    places = rows.filter("_host <> '' and _day is not null").select("_host", "_first", "_day").distinct()
+    asked = places.select("_host", "_first", "_day", F.posexplode(keys_of(F.col("_host"), F.col("_first"))).alias("_rank", "_key"))
+    starts = spans.select(F.col("key").alias("_key"), F.col("since").alias("_day"), F.struct("since", "until", "action").alias("_span"))
+    both = starts.unionByName(asked.select("_key", "_day").distinct(), allowMissingColumns=True)
+    # of one day the start and the question are peers, so the day's own entry counts
+    carried = both.withColumn("_last", F.last("_span", ignorenulls=True).over(Window.partitionBy("_key").orderBy("_day"))).filter("_span is null")
+    active = carried.filter((F.col("_last.since") <= F.col("_day")) & (F.col("_last.until").isNull() | (F.col("_last.until") > F.col("_day"))))
+    found = asked.join(active.select("_key", "_day", "_last"), ["_key", "_day"]).groupBy("_host", "_first", "_day")
+    found = found.agg(F.min_by(F.struct(F.col("_last.action").alias("action"), F.col("_key").alias("key"), F.col("_last.since").alias("since")), "_rank").alias("_verdict"))
+    judged = rows.join(found, ["_host", "_first", "_day"], "left")
+    return judged.select(*(F.col(f"_row.`{c}`").alias(c) for c in captures.columns if c != "_verdict"), "_verdict")
 
 
 def _digits(text: Column, salt: str, n: int) -> Column:
