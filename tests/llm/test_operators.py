@@ -482,3 +482,15 @@ def test_quality(docs, odd, empty, spark):
     out = quality.quality_rules(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), carry=["doc_id"]).join(labels, "doc_id").filter("not _base_failed")
     n = {(r["quality"], r["_kept"]): r["count"] for r in out.groupBy("quality", "_kept").count().collect()}
     assert n[1, True] >= 0.995 * (n[1, True] + n.get((1, False), 0)) and n[0, False] >= 0.9 * (n[0, False] + n.get((0, True), 0))
+
+
+def test_mixing_clashing_names(odd, empty):
+    clash = ["_size", "_taken", "_run", "_source_size", "_target", "__size", "_source", "_order", "_shard", "_c0", "v", "n", "w", "words", "quota", "target", "shards"]
+    rows = odd.select("*", *(F.lit(i).alias(c) for i, c in enumerate(clash)))
+    mixed = mixing.mix(rows)
+    assert mixed.columns == [*rows.columns, "___size", "__source_size", "__target", "__taken"] and mixed.count() == odd.count()
+    got = mixing.take(mixed, rows.columns)
+    plain = mixing.take(mixing.mix(odd), odd.columns)
+    assert got.columns == rows.columns and sorted(map(repr, got.select(*odd.columns).collect())) == sorted(map(repr, plain.collect()))
+    assert all([r[c] for c in clash] == list(range(len(clash))) for r in got.collect())
+    assert mixing.take(mixing.mix(empty), empty.columns).count() == 0

@@ -7,7 +7,9 @@ whole passes of the stream first, then the blocks from its start. A shard is a h
 about ``shard_rows`` rows, so that no window or task grows with the input.
 
 Defined cases: a null or empty text has size 0 and nothing taken; null source is the last source;
-rows that repeat are taken each by itself; an empty table gives an empty result.
+rows that repeat are taken each by itself; very long texts are counted whole and may be cut where a source's
+last block ends; equal places in the seeded order go by size; an empty table gives an empty result. Other columns, whatever
+their names, stay as they are: a result column gets more leading underscores until no carried column has its name.
 """
 
 from __future__ import annotations
@@ -62,6 +64,16 @@ def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
     return got
 
 
+def result_names(carry: list[str]) -> list[str]:
+    """Names of size, source_size, target, taken and run that no carried column has."""
+    known, out = {c.lower() for c in carry}, []
+    for name in ("_size", "_source_size", "_target", "_taken", "_run"):
+        while name in known:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def mix(docs: DataFrame, carry: list[str] | None = None, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = (3, 1, 2), total: float = 1.5, cap: float = 2.0, block: int = 16, shard_rows: int = 4096, seed: int = 7) -> DataFrame:
     """``carry`` and _size, _source_size, _target, _taken (words, passes counted) of each row."""
     carry = list(docs.columns if carry is None else carry)
@@ -93,22 +105,23 @@ def mix(docs: DataFrame, carry: list[str] | None = None, text: str = "text", sou
     rows = rows.withColumn("_end", end)
     passes = F.when(F.col("w") > 0, F.floor(F.col("words") / F.col("w"))).otherwise(0)
     part = F.least(F.col("_size"), F.greatest(F.lit(0), F.col("words") - passes * F.col("w") - (F.col("_end") - F.col("_size"))))
-    return rows.select(*(F.col(k).alias(c) for k, c in zip(kept, carry, strict=True)), "_size", F.col("v").alias("_source_size"), F.col("target").alias("_target"), (passes * F.col("_size") + part).cast("long").alias("_taken"))
+    results = [F.col("_size"), F.col("v"), F.col("target"), (passes * F.col("_size") + part).cast("long")]
+    return rows.select(*(F.col(k).alias(c) for k, c in zip(kept, carry, strict=True)), *(x.alias(n) for x, n in zip(results, result_names(carry)[:4], strict=True)))
 
 
 def take(mixed: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
     """The mix itself: a row for each whole pass over a document, and one with the words that a last block cuts off."""
-    whole = F.floor(F.col("_taken") / F.greatest("_size", F.lit(1))).cast("int")
-    rest = (F.col("_taken") - whole * F.col("_size")).cast("int")
+    size, _, _, taken, run = result_names(columns)
+    whole = F.floor(F.col(taken) / F.greatest(size, F.lit(1))).cast("int")
+    rest = (F.col(taken) - whole * F.col(size)).cast("int")
     runs = F.array_repeat(F.lit(-1), whole)
     runs = F.when(rest > 0, F.concat(runs, F.array(rest))).otherwise(runs)
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("_run")), "")
-    rows = mixed.withColumn("_run", F.explode(runs))
-    new = F.when(F.col("_run") < 0, F.col(text)).otherwise(head)
-    rows = rows.withColumn(text, new)
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col(run)), "")
+    rows = mixed.withColumn(run, F.explode(runs))
+    rows = rows.withColumn(text, F.when(F.col(run) < 0, F.col(text)).otherwise(head))
     if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_run") < 0, F.col("n_chars")).otherwise(F.length(text).cast("long")))
-    return rows.select(*columns)
+        rows = rows.withColumn("n_chars", F.when(F.col(run) < 0, F.col("n_chars")).otherwise(F.length(text).cast("long")))
+    return rows.select(*(F.col(f"`{c}`") for c in columns))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
