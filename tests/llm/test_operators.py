@@ -263,7 +263,7 @@ def test_sql(spark, sf):
 def test_toxicity(spark, docs, odd):
     s = toxicity.Scorer({"scum": 8.0}, {"lowei": 7.0}, -3.5)
     plain, said, negated, aimed = (s.score(t)[0] for t in ("They are scum.", "She said scum is here.", "This is not scum.", "You, scum."))
-    assert said < plain and negated < plain and aimed >= plain > 0.9 and s.score("the weather is fine")[0] < 0.1 and s.score(None) == s.score("")
+    assert said < 0.3 and negated < 0.3 and aimed >= plain > 0.9 and s.score("the weather is fine")[0] < 0.1 and s.score(None) == s.score("")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     out = toxicity.score(big, toxicity.learn(toxicity.training_rows(big.select("doc_id", "text"), labels)), ["doc_id"])
@@ -273,6 +273,29 @@ def test_toxicity(spark, docs, odd):
     assert toxicity.score(odd, ({}, {}, -3.5)).count() == odd.count()
 
 
+def test_threats_are_patterns_of_words(spark):
+    s = toxicity.Scorer({}, {}, -3.5)
+    toxic = lambda t: s.score(t)[0] >= 0.3
+    assert all(toxic(t) for t in ("I will kill you.", "We will shoot them tomorrow.", "I'll hurt you", "Wir werden dich töten!", "The weather. They should all hurt her"))
+    assert not any(toxic(t) for t in ("I will not kill you.", "He said I will kill you.", "I hurt my knee.", "It will kill the mood. You are kind.", "You will go", "kill", "you kill"))
+    # a pattern common in clean texts loses its weight, one common in toxic texts keeps it
+    row = lambda t, y, n: [(f"{t} {i}", y) for i in range(n)]
+    texts = spark.createDataFrame(row("We will kill them", 1, 200) + row("please hurt you", 0, 200) + row("fine day", 0, 400), "text string, label int")
+    w = toxicity.threat_weights(texts, 200, 600)
+    assert w["K"] > 3.5 and w["k"] < 0.2
+    assert toxicity.learn(texts.limit(0)) == ({}, {}, -3.5, toxicity.THREAT_WEIGHTS)
+
+
+def test_toxicity_carries_any_column_and_empty_tables(spark):
+    lexicon = ({"scum": 8.0}, {}, -3.5)
+    docs = spark.createDataFrame([(1, "scum", "a", 7), (1, "scum", "b", 8), (None, None, None, None), (2, "", "c", 9)], "doc_id long, text string, _t string, _c0 long")
+    got = toxicity.score(docs, lexicon).collect()
+    assert [(r["doc_id"], r["text"], r["_t"], r["_c0"], r["_clauses"]) for r in got] == [(1, "scum", "a", 7, 1), (1, "scum", "b", 8, 1), (None, None, None, None, 0), (2, "", "c", 9, 0)]
+    assert toxicity.score(docs.limit(0), lexicon).count() == 0
+    long_ = spark.createDataFrame([(1, "word " * 300_000 + "scum")], "doc_id long, text string")
+    assert toxicity.score(long_, lexicon).first()["_score"] > 0.9
+
+
 # ---- 6
 
 
