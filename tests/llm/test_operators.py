@@ -495,6 +495,22 @@ def brute_counts(t):
     return len(words), sum(len(w.decode()) for w in words), sum(t.count(c.encode()) for c in "#*$%&|<>") if words else 0, dup, len(cover)
 
 
+def test_small_groups_are_judged_by_language_and_table(spark):
+    def plain(i):
+        rng = np.random.default_rng(i)
+        words = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(2, 10, 80)]
+        return " ".join(w.capitalize() + "." if u < 0.15 else w for w, u in zip(words, rng.random(80), strict=True))
+
+    wild = " ".join(f"#$%{j}&*|<>" for j in range(60))
+    rows = [(i, "en", "s", plain(i)) for i in range(300)] + [(1000 + i, "en", f"small{i}", plain(i)) for i in range(5)] + [(2000, "en", "tiny", wild), (3000, "xx", "s", wild), (3001, "xx", None, plain(7)), (3002, None, "s", plain(8))]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    got = {r["doc_id"]: (r["_kept"], r["_distance"]) for r in quality.quality_rules(docs, carry=["doc_id"]).collect()}
+    assert len(got) == len(rows) and all(d is not None for _, d in got.values())
+    assert not got[2000][0] and not got[3000][0] and all(got[i][0] for i in (1000, 1004, 3001, 3002))
+    few = quality.quality_rules(docs.limit(20), carry=["doc_id"]).collect()
+    assert len(few) == 20 and all(r["_kept"] and r["_distance"] is None for r in few)
+
+
 def test_quality(docs, odd, empty, spark):
     for df in (docs, odd):
         for r in quality.text_stats(df, ["text"]).collect():

@@ -3,8 +3,9 @@
 Every document gets count statistics of its whole text. Within each (language, source) group a
 minimum-covariance-determinant (MCD) estimate of a transformed statistic vector is found by
 concentration steps, each of them two distributed aggregations over all rows of all groups; a
-document goes when its Mahalanobis distance is far beyond the group's bulk. Groups below
-``min_group`` rows are pooled by language; a language below it gets no verdict from the method.
+document goes when its Mahalanobis distance is far beyond the group's bulk. Rows of groups below
+``min_group`` rows are judged by an estimate over all rows of their language, those of a language
+below it by one over all rows; only a table below it as a whole gets no verdict from the method.
 
 Defined cases: a null or empty text has no words and fails the base rule; null language or source
 is a group of its own; repeated rows count as often as they occur and get the same verdict; an
@@ -98,9 +99,12 @@ def base_failed(s: str = "_stats") -> Column:
     return (n < 50) | (100 * r > 50 * n)
 
 
-def _group(pooled: Column | None = None) -> Column:
-    lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in ("_lang", "_source"))
-    return F.concat_ws("\x00", lang, source if pooled is None else F.when(~pooled, source))
+def _key(c: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+
+
+def _group() -> Column:
+    return F.concat_ws("\x00", _key("_lang"), _key("_source"))
 
 
 def _distance(mean: str, inverse: str) -> Column:
@@ -142,14 +146,20 @@ PARAMS = "_g string, _m array<double>, _i array<double>"
 
 
 def fit(stats: DataFrame, h: float = 0.75, steps: int = 4, min_group: int = 50) -> tuple[DataFrame, DataFrame]:
-    """MCD of every group: (rows with their group, parameters by group with the bulk's median distance).
+    """MCD of every group: (the group _g that judges each language and source _k, parameters by _g with the bulk's median distance).
 
-    ``stats`` has _lang, _source and _x; it is read some times, so give it written. Medians, subsets
-    of the h nearest and their moments are aggregations over all rows; only rows of groups move.
+    ``stats`` has _lang, _source and _x. Medians, subsets of the h nearest and their moments are
+    aggregations over all rows. A row counts in its own group, and in its language and in the table
+    where these judge a group that is too small.
     """
-    sizes = stats.groupBy(_group().alias("_k")).agg(F.count(F.lit(1)).alias("_n"), (F.count(F.lit(1)) < min_group).alias("_pool"))
-    rows = stats.withColumn("_k", _group()).join(sizes.select("_k", "_pool"), "_k").withColumn("_g", _group(F.col("_pool"))).drop("_k", "_pool")
-    rows = stash(rows)
+    sizes = stats.groupBy(_group().alias("_k"), _key("_lang").alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
+    langs = sizes.groupBy(F.col("_l").alias("_l2")).agg(F.sum("_n").alias("_ln"), F.min("_n").alias("_least"))
+    levels = cut(sizes.join(langs, F.col("_l") == F.col("_l2")).select("_k", "_l", "_n", "_ln", "_least"))
+    large, wide = F.col("_n") >= min_group, F.col("_ln") >= min_group
+    every = not levels.filter(~wide).isEmpty()
+    into = F.array(F.when(large, F.col("_k")), F.when(wide & (F.col("_least") < min_group), F.col("_l")), F.when(F.lit(every), F.lit("")))
+    rows = stash(stats.select(_group().alias("_k"), "_x").join(levels.select("_k", F.array_compact(into).alias("_into")), "_k").select(F.explode("_into").alias("_g"), "_x"))
+    levels = levels.select("_k", F.when(large, F.col("_k")).when(wide, F.col("_l")).otherwise("").alias("_g"))
     cells = rows.select("_g", F.posexplode(F.transform("_x", lambda v: F.floor(v * 512).cast("int"))).alias("_d", "_c")).groupBy("_g", "_d", "_c").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("_g", "_d")
     run = cells.withColumn("r", F.sum("n").over(w.orderBy("_c"))).withColumn("t", F.sum("n").over(w))
@@ -169,7 +179,7 @@ def fit(stats: DataFrame, h: float = 0.75, steps: int = 4, min_group: int = 50)
     last = rows.join(params, "_g").groupBy("_g", _cell(_distance("_m", "_i")).alias("_c")).agg(F.count(F.lit(1)).alias("n"))
     last = last.withColumn("r", F.sum("n").over(g.orderBy("_c"))).withColumn("t", F.sum("n").over(g))
     middle = last.groupBy("_g").agg(F.pow(2.0, F.min(F.when(F.col("r") >= F.col("t") * 0.5, F.col("_c"))) / STEP).alias("_mid"))
-    return rows, cut(params.join(middle, "_g"))
+    return levels, cut(params.join(middle, "_g"))
 
 
 #: Median of the chi-squared distribution with VECTOR degrees of freedom.
@@ -190,9 +200,8 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
         full = text_stats(named, [*kept, "_lang", "_source"], "_t").withColumn("_x", vector())
     else:
         fitted = full = stash(text_stats(named, [*kept, "_lang", "_source"], "_t").withColumn("_x", vector()))
-    rows, params = fit(fitted.filter(~base_failed()).select("_lang", "_source", "_x"), min_group=min_group)
-    groups = rows.select(F.coalesce(F.concat(F.lit("="), F.col("_lang").cast("string")), F.lit("-")).alias("_l"), F.coalesce(F.concat(F.lit("="), F.col("_source").cast("string")), F.lit("-")).alias("_s"), "_g").distinct()
-    table = groups.join(params, "_g").select(F.concat_ws("\x00", "_l", "_s").alias("_k"), "_m", "_i", "_mid")
+    levels, params = fit(fitted.filter(~base_failed()).select("_lang", "_source", "_x"), min_group=min_group)
+    table = levels.join(params, "_g").select("_k", "_m", "_i", "_mid")
     judged = full.withColumn("_k", _group()).join(table, "_k", "left").withColumn("_d2", _distance("_m", "_i") / F.col("_mid") * CHI_MEDIAN)
     out = F.col("_d2") > cutoff
     return judged.select(
