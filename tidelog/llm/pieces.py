@@ -64,6 +64,8 @@ class Vocabulary:
                 self.text[i] = piece.replace(SPACE, " ").encode()
         self.byte_score = -temperature * math.log(rank + 2)
         self.longest = max(map(len, self.score))
+        # as many arcs can meet in a node as a piece has characters; lattices count them in 6 bits
+        assert self.longest <= 63, "a piece is longer than 63 characters"
         self.tables()
         # A unit is what no piece crosses: a run of spaces with what follows it up to the next one.
         assert not any(SPACE in p.lstrip(SPACE) for p in self.score), "a piece holds a space inside"
