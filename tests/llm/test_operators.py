@@ -150,6 +150,35 @@ def test_lines_of_large_buckets(spark, block):
     assert classes_of(spark, texts, block=block, small=1) == brute_classes(texts)
 
 
+def test_lines_of_a_bucket_meet_by_size(spark, monkeypatch):
+    # one bucket of 60 lines, of which no more than a few are of like sizes: they need no prefix join
+    word = lambda i: hashlib.md5(str(i).encode()).hexdigest()[:7]
+    base = [" ".join(word(1000 * i + j) for j in range(int(2 * 1.3**i) % 900 + i)) for i in range(20)]
+    texts = [x for i, b in enumerate(base) for x in (b + f" end{i}", b + " another", b + " of these lines, which grow" * (i + 1))]
+    monkeypatch.setattr(lines, "bands_of", lambda rows, width: rows.select(F.xxhash64("_line").alias("_k"), F.lit(1).cast("long").alias("_band")))
+    asked = []
+    monkeypatch.setattr(lines, "prefixes", lambda *a, real=lines.prefixes: asked.append(a) or real(*a))
+    assert classes_of(spark, texts) == brute_classes(texts) and not asked
+    # of all sizes that can be similar, both lines are in one group, one of them low
+    sizes = list(range(1, 260))
+    of = spark.createDataFrame([(n, n) for n in sizes], "_k long, _n int")
+    pairs = lines.pairs_of_small(lines.groups_of(of.select("_k", F.lit(1).alias("_band")), of, 8, 10), 10**6, 8, 10).collect()
+    assert sorted((r["a"], r["b"]) for r in pairs) == [(a, b) for a in sizes for b in sizes if a < b and 10 * a >= 8 * b]
+
+
+def test_prefixes_leave_most_tokens_where_they_are(spark, monkeypatch):
+    texts = [" ".join(hashlib.md5(f"{i // 2} {j}".encode()).hexdigest()[:6] for j in range(60)) for i in range(40)]
+    rows = lines.stash(spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "_k long, _line string"))
+    lists = lines.prefixes(rows, 9, 8, 10).collect()
+    sets = rows.select("_k", F.array_distinct(lines.hashes_of("_line", 9)).alias("_set")).collect()
+    length = {r["_k"]: len(r["_set"]) - math.ceil(len(r["_set"]) * 0.8) + 1 for r in sets}
+    # equal lines share their whole prefix, in the same places
+    by = {k: sorted((r["_pos"], r["_tok"]) for r in lists if r["_k"] == k) for k in length}
+    assert all(by[i] == by[i + 1] and [p for p, _ in by[i]] == list(range(length[i])) for i in range(0, 40, 2))
+    # a fifth is wanted; of four classes hardly a line reaches more than the first
+    assert sum(length.values()) <= lines.reached(rows, 9, 8, 10).count() < 0.4 * sum(len(r["_set"]) for r in sets)
+
+
 def test_lines_by_every_character(spark, docs):
     apart = ["https://a.org/x", "https://a.org/y", "2024-01-01T10:00", "2024-01-01T11:00", "Andththwhwh.", "Andththwhes.", "今日は天気がとても良いので散歩に行きます", "今日は天気がとても良くないので家にいます", "https://example.com/pricing-for-teams", "https://elsewhere.org/terms"]
     got = lines.drop_lines(spark.createDataFrame(list(enumerate(apart)), "doc_id long, text string")).collect()
