@@ -236,6 +236,18 @@ def test_jaccard_against_brute_force(docs, size, num, den, chunk):
     assert got == brute_links(texts(docs), size, num, den)
 
 
+def test_large_jaccard_groups_meet_by_size(spark):
+    sizes = [int(10 * 1.07**i) + j for i in range(60) for j in range(3)]
+    rows = spark.createDataFrame([(i, "", n, i % 2) for i, n in enumerate(sizes)] + [(1000, "", 5, 7), (1001, "", 500, 7)], "_id long, _t string, _n long, _comp long")
+    groups = {}
+    for r in jaccard.by_size(rows, 90, 100, 20).collect():
+        groups.setdefault(r["_comp"], set()).add(r["_id"])
+    assert {1000, 1001} in groups.values() and max(map(len, groups.values())) < 20
+    met = {(a, b) for g in groups.values() for a in g for b in g}
+    of = range(len(sizes))
+    assert all((a, b) in met for a in of for b in of if a % 2 == b % 2 and 10 * sizes[a] >= 9 * sizes[b] and 10 * sizes[b] >= 9 * sizes[a])
+
+
 def test_jaccard_odd(odd, empty):
     got = Counter((r["_id"], r["_n"], r["_component"]) for r in jaccard.jaccard_join(odd.withColumn("_rep", F.lit(1)), size=3, num=90, den=100).collect())
     assert got[(5, 5998, 4)] == 2 and got[(1, 0, 1)] == got[(2, 0, 2)] == got[(6, 1, 6)] == 1

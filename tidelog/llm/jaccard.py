@@ -15,7 +15,8 @@ join is exact:
    hold the OR of their members' token bitmaps, their size range and their slack. A dual traversal
    from the root prunes node pairs whose greatest possible overlap is too small for any pair in
    them, skips what is linked already, and compares what is left by exact intersection. A group of
-   more than ``chunk`` classes is cut into chunks, and pairs of chunks are tasks of their own.
+   more than ``chunk`` classes is parted by size, each range with the next one; what is larger still
+   is cut into chunks, and pairs of chunks are tasks of their own.
 4. Links become components by distributed star steps.
 
 Tokens are 64-bit hashes of shingles. Defined cases: a text without words, or null, has an empty set and
@@ -287,8 +288,22 @@ def tree_join(sets: list[np.ndarray], left: np.ndarray | None, num: int, den: in
     return np.array([find(i) for i in range(len(sets))], np.int64), tried
 
 
+def by_size(members: DataFrame, num: int, den: int, chunk: int) -> DataFrame:
+    """Groups of more than ``chunk`` classes parted by size: those whose sizes allow a link have a group in common.
+
+    Ranges of sizes are a little wider than den/num, so they are of one range or of neighbouring ones, and a group holds
+    a range and the next one.
+    """
+    large = members.groupBy("_comp").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > chunk).select(F.col("_comp").alias("_c2"))
+    rows = members.join(large, F.col("_comp") == F.col("_c2"), "left")
+    r = F.floor(F.log("_n") / F.log(F.lit(1.0001 * den / num))).cast("int")
+    rows = rows.withColumn("_g", F.explode(F.when(F.col("_c2").isNotNull() & F.lit(num < den), F.array(r - 1, r)).otherwise(F.array(F.lit(None).cast("int")))))
+    return rows.select("_id", "_t", F.when(F.col("_g").isNull(), F.col("_comp")).otherwise(F.xxhash64("_comp", "_g")).alias("_comp"))
+
+
 def links(members: DataFrame, size: int, num: int, den: int, buckets: int, chunk: int) -> DataFrame:
-    """(_id, _t, _comp) to (a, b): stars of the links found in each candidate group."""
+    """(_id, _t, _n, _comp) to (a, b): stars of the links found in each candidate group."""
+    members = by_size(members, num, den, chunk)
     count = members.groupBy("_comp").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > chunk).select(F.col("_comp").alias("_c2"), F.ceil(F.col("_m") / (chunk // 2)).cast("int").alias("_k"))
     rows = members.join(count, F.col("_comp") == F.col("_c2"), "left")
     mine = F.pmod(F.xxhash64("_id"), F.col("_k")).cast("int")
@@ -331,10 +346,10 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     with passing(spark):
         lone = lone_tokens(texts, size, buckets)
         open_ = F.coalesce("_lone", F.lit(0)) <= F.col("_n") - F.ceil(F.col("_n") * num / den)
-        wanted = stash(classes.filter("_rep is not null").join(lone, F.col("_d1") == F.col("_name"), "left").filter(open_).select("_rep", "_d1"))
-        members = stash(wanted.join(texts, F.col("_rep") == F.col("_id")).dropDuplicates(["_id"]).select("_id", "_t", "_d1"))
+        wanted = stash(classes.filter("_rep is not null").join(lone, F.col("_d1") == F.col("_name"), "left").filter(open_).select("_rep", "_d1", "_n"))
+        members = stash(wanted.join(texts, F.col("_rep") == F.col("_id")).dropDuplicates(["_id"]).select("_id", "_t", "_d1", "_n"))
         groups = components(candidate_edges(members, size, num, den, buckets))
-        grouped = members.join(groups, F.col("_d1") == F.col("node")).select("_id", "_t", F.col("component").alias("_comp"))
+        grouped = members.join(groups, F.col("_d1") == F.col("node")).select("_id", "_t", "_n", F.col("component").alias("_comp"))
         linked = components(links(grouped, size, num, den, buckets, chunk))
     free(spark)
     final = classes.join(linked, F.col("_rep") == F.col("node"), "left").select(F.col("_d1").alias("_e1"), F.col("_d2").alias("_e2"), F.col("_n").alias("_e3"), F.coalesce("component", "_rep").alias("_c"))
