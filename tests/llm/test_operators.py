@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -574,3 +575,11 @@ def test_mixing_clashing_names(odd, empty):
     assert got.columns == rows.columns and sorted(map(repr, got.select(*odd.columns).collect())) == sorted(map(repr, plain.collect()))
     assert all([r[c] for c in clash] == list(range(len(clash))) for r in got.collect())
     assert mixing.take(mixing.mix(empty), empty.columns).count() == 0
+
+
+def test_quality_workers_give_memory_back(monkeypatch):
+    freed = []
+    monkeypatch.setattr(quality, "release", lambda: freed.append(1), raising=False)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a few words"]})
+    assert [b.num_rows for b in quality._count(iter([batch, batch]), "text", ["doc_id"], "_stats")] == [1, 1] and freed == [1]
+    assert not list(quality._count(iter([]), "text", ["doc_id"], "_stats")) and len(freed) == 2

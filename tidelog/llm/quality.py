@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.shared import cut, small_batches, stash
+from tidelog.llm.shared import cut, release, small_batches, stash
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_punct")
 VECTOR = 4
@@ -74,6 +74,8 @@ def _count(batches: Iterator[pa.RecordBatch], text: str, keep: list[str], name:
         rows = [count_text(x or b"") for x in batch.column(text).cast(pa.binary()).to_pylist()]
         cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COUNTS))]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.StructArray.from_arrays(cols, list(COUNTS))], [*keep, name])
+        del batch, rows, cols
+    release()  # the worker waits for its next task beside what runs then
 
 
 def text_stats(docs: DataFrame, carry: list[str], text: str = "text", name: str = "_stats") -> DataFrame:
