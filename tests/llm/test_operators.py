@@ -392,6 +392,29 @@ def test_passage_with_pieces_in_smaller_documents(spark):
     assert got == {(30, 10, 2, 72), (41, 40, 0, 45), (41, 40, 105, 150)}
 
 
+def test_fuzzy_passage_whose_partner_is_neither_first_nor_nearest(spark):
+    # every seed of the passage is in a smaller document than the partner and in one between the two
+    whole = [f"w{i}" for i in range(80)]
+    near = [w if i % 9 else f"n{i}" for i, w in enumerate(whole)]
+    pieces_ = [near[i : i + 22] for i in range(0, 70, 12)]
+    rows = [(i, [f"a{i}", *p]) for i, p in enumerate(pieces_)] + [(10, ["x1", *whole, "x2"])] + [(20 + i, [f"b{i}", *p]) for i, p in enumerate(pieces_)] + [(30, ["y1", "y2", *near])]
+    got = [(r["_id"], r["_ref"], r["_start"], r["_end"]) for r in chaining.passages(spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")).collect()]
+    assert [r[:2] for r in got] == [(30, 10)] and got[0][2] <= 6 and got[0][3] == 82
+
+
+def test_rest_of_matches_against_brute_force():
+    rng = np.random.default_rng(4)
+    rows = np.unique(np.stack([rng.integers(0, 9, 900) ** 2 // 20 * 2, rng.integers(0, 40, 900), rng.integers(0, 20, 900)], axis=1), axis=0)
+    seed, doc, at = rows[:, 0].astype(np.uint64), rows[:, 1], rows[:, 2]
+    got = Counter((int(i), int(j)) for one, two in chaining.all_matches(seed, doc, doc % 3 == 0, 50) for i, j in zip(one, two, strict=True))
+    assert got == Counter((i, j) for i, a in enumerate(rows.tolist()) for j, b in enumerate(rows.tolist()) if a[1] % 3 == 0 and a[0] == b[0] and b[1] < a[1])
+    which, o = chaining.open_seeds(seed, doc, at)
+    done = Counter(chaining.matches(*rows.T)[0].tolist())
+    for i, left in zip(which.tolist(), o["left"].tolist(), strict=True):
+        assert left == (done[i] < sum(b[0] == seed[i] and b[1] < doc[i] for b in rows.tolist()))
+    assert set(which.tolist()) == {i for i in range(len(rows)) if len(set(doc[seed == seed[i]])) > 1}
+
+
 def test_matches_of_a_seed():
     rng = np.random.default_rng(3)
     rows = np.unique(np.stack([rng.integers(0, 9, 900) ** 2 // 20, rng.integers(0, 40, 900), rng.integers(0, 20, 900)], axis=1), axis=0)
