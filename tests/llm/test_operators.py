@@ -402,6 +402,18 @@ def test_fuzzy_passage_whose_partner_is_neither_first_nor_nearest(spark):
     assert [r[:2] for r in got] == [(30, 10)] and got[0][2] <= 6 and got[0][3] == 82
 
 
+def test_passages_of_seeds_with_many_places(spark):
+    # a line of 30 words that all have: two documents go on alike with runs of four words, which have few seeds, others don't
+    line = [f"l{i}" for i in range(30)]
+    after = [f"e{i}" if i % 5 else f"f{i}" for i in range(1, 25)]
+    rows = [(i, [f"a{i}x{j}" for j in range(9)] + line + [f"b{i}x{j}" for j in range(30)]) for i in range(60)]
+    rows[20] = (20, ["c1", *line, *after, "c2"])
+    rows[40] = (40, ["d1", "d2", *line, *(w if w[0] == "e" else f"g{w}" for w in after), "d3"])
+    small = spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")
+    got = [[(r["_id"], r["_ref"], r["_start"], r["_end"]) for r in chaining.passages(small, hot=hot).collect()] for hot in (4, 10**6)]
+    assert sorted(got[0]) == sorted(got[1]) and [r[:2] for r in got[0]] == [(40, 20)] and got[0][0][2] == 2 and got[0][0][3] >= 50
+
+
 def test_rest_of_matches_against_brute_force():
     rng = np.random.default_rng(4)
     rows = np.unique(np.stack([rng.integers(0, 9, 900) ** 2 // 20 * 2, rng.integers(0, 40, 900), rng.integers(0, 20, 900)], axis=1), axis=0)
