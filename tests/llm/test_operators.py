@@ -180,6 +180,31 @@ def test_prefixes_leave_most_tokens_where_they_are(spark, monkeypatch):
     assert sum(length.values()) <= lines.reached(rows, 9, 8, 10).count() < 0.4 * sum(len(r["_set"]) for r in sets)
 
 
+def test_lines_that_share_a_template_do_not_meet_pair_by_pair(spark, monkeypatch):
+    word = lambda *of: hashlib.md5(repr(of).encode()).hexdigest()[:6]
+    # 200 lines, each with seven words of its own, and after them ten that are near some of these
+    texts = [" ".join(word(i, j) if (i + 7 * j) % 40 < 7 else word(j) for j in range(40)) for i in range(200)]
+    texts += [x + " end" for x in texts[::20]]
+    monkeypatch.setattr(lines, "bands_of", lambda rows, width: rows.select(F.xxhash64("_line").alias("_k"), F.lit(1).cast("long").alias("_band")))
+    made = []
+
+    def counted(*a, real=lines.rest_of_lists, **k):
+        out = real(*a, **k)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "rest_of_lists", counted)
+    want = brute_classes(texts)
+    assert len(set(want.values())) == 200 and classes_of(spark, texts) == want
+    assert len(made) == 1 and made[0] < 10 * len(texts)
+    # pairs of one token's list: those of different components, each once, in any number of blocks
+    rows = spark.createDataFrame([(1, i, 0, 100, i % 3 if i < 9 else 3) for i in range(30)], "_tok long, _k long, _pos int, _n int, _c long")
+    for block in (1024, 4):
+        pairs = [(r["a"], r["b"]) for r in counted(rows, 8, 10, block).collect()]
+        of = {r["_k"]: r["_c"] for r in rows.collect()}
+        assert sorted(pairs) == [(a, b) for a in of for b in of if a < b and of[a] != of[b]]
+
+
 def test_lines_by_every_character(spark, docs):
     apart = ["https://a.org/x", "https://a.org/y", "2024-01-01T10:00", "2024-01-01T11:00", "Andththwhwh.", "Andththwhes.", "今日は天気がとても良いので散歩に行きます", "今日は天気がとても良くないので家にいます", "https://example.com/pricing-for-teams", "https://elsewhere.org/terms"]
     got = lines.drop_lines(spark.createDataFrame(list(enumerate(apart)), "doc_id long, text string")).collect()
