@@ -274,6 +274,25 @@ def test_large_jaccard_groups_meet_by_size(spark):
     assert all((a, b) in met for a in of for b in of if a % 2 == b % 2 and 10 * sizes[a] >= 9 * sizes[b] and 10 * sizes[b] >= 9 * sizes[a])
 
 
+def test_jaccard_moves_no_texts_that_are_ruled_out(spark, monkeypatch):
+    rows = spark.range(20_000).select((F.col("id") - 10_000).alias("_id"))
+    some = rows.filter("_id % 100 = 0")
+    got = rows.unionByName(spark.createDataFrame([(None,)], "_id long")).filter(jaccard.sieve(some, "_id")("_id"))
+    assert got.join(some, "_id").count() == some.count() == 200 and got.count() < 210
+    assert rows.filter(jaccard.sieve(some.limit(0), "_id")("_id")).count() == 0
+    # of texts with no near copy few get to the join
+    texts = [" ".join(f"w{i if i < 995 else 0}x{j}" for j in range(30)) + " end" * (i > 995) for i in range(1000)]
+    asked = []
+
+    def counted(keys, key, real=jaccard.sieve):
+        asked.append(keys.count())
+        return real(keys, key)
+
+    monkeypatch.setattr(jaccard, "sieve", counted)
+    got = {r["_id"]: r["_component"] for r in jaccard.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=3, num=90, den=100).collect()}
+    assert got == {i: i if i < 995 else 0 for i in range(1000)} and asked == [2]
+
+
 def test_jaccard_odd(odd, empty):
     got = Counter((r["_id"], r["_n"], r["_component"]) for r in jaccard.jaccard_join(odd.withColumn("_rep", F.lit(1)), size=3, num=90, den=100).collect())
     assert got[(5, 5998, 4)] == 2 and got[(1, 0, 1)] == got[(2, 0, 2)] == got[(6, 1, 6)] == 1

@@ -5,7 +5,8 @@ join is exact:
 
 1. Equal sets are one class, represented by the smallest document id. A linked pair shares at least
    num/den of either set, so a class whose tokens are to a larger part in no other class has no
-   links; its text goes no further. Half of all tokens, chosen by hash, are counted for that: a
+   links; its text goes no further: a bitmap of the ids that are left keeps back almost all others before
+   texts are joined. Half of all tokens, chosen by hash, are counted for that: a
    class that they do not rule out stays in.
 2. Candidates. Sizes fall into ranges such that linked sets are in the same or in neighbouring ranges.
    For a range the tokens are dealt into more parts than a linked pair can have differing tokens, so a
@@ -32,7 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import components
@@ -335,6 +336,31 @@ def links(members: DataFrame, size: int, num: int, den: int, buckets: int, chunk
     return dealt.select("_id", "_t", "_comp", "_mine", "_task", "_k", "_where").groupBy("_where").applyInArrow(compare, "a long, b long")
 
 
+#: Places of a sieve: a power of two, of at least 1 << 15.
+SIEVE = 1 << 24
+
+
+def sieve(keys: DataFrame, key: str) -> Callable[[str], Column]:
+    """A test of a column that holds for all these keys and, as it goes by a hash, for a few others.
+
+    It is a bitmap of a fixed 2 MB, which the driver gathers and sends to the executors, so that a join with these keys
+    need not move the texts of all others, whatever the planner makes of its sizes.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE)).cast("int")
+    rows = keys.select(place(key).alias("_p")).groupBy(F.shiftright("_p", 15).alias("_part")).agg(F.bitmap_construct_agg(F.col("_p").bitwiseAND(F.lit((1 << 15) - 1)).cast("long")).alias("_bits"))
+    bits = np.zeros(SIEVE >> 3, np.uint8)
+    for r in rows.collect():
+        bits[r["_part"] << 12 : r["_part"] + 1 << 12] = np.frombuffer(r["_bits"], np.uint8)
+    sent_ = keys.sparkSession.sparkContext.broadcast(bits)
+
+    def held(p: pa.Array) -> pa.Array:
+        x = p.to_numpy(zero_copy_only=False)
+        return pa.array((sent_.value[x >> 3] >> (x & 7) & 1) == 1)
+
+    test = F.arrow_udf(held, "boolean")
+    return lambda c: test(place(c))
+
+
 def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, num: int = 8, den: int = 10, chunk: int = 2048) -> DataFrame:
     """(_id, _n, _component) of each row: documents of one component are linked, directly or through others, at similarity num/den or more."""
     spark = docs.sparkSession
@@ -347,7 +373,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
         lone = lone_tokens(texts, size, buckets)
         open_ = F.coalesce("_lone", F.lit(0)) <= F.col("_n") - F.ceil(F.col("_n") * num / den)
         wanted = stash(classes.filter("_rep is not null").join(lone, F.col("_d1") == F.col("_name"), "left").filter(open_).select("_rep", "_d1", "_n"))
-        members = stash(wanted.join(texts, F.col("_rep") == F.col("_id")).dropDuplicates(["_id"]).select("_id", "_t", "_d1", "_n"))
+        members = stash(wanted.join(texts.filter(sieve(wanted, "_rep")("_id")), F.col("_rep") == F.col("_id")).dropDuplicates(["_id"]).select("_id", "_t", "_d1", "_n"))
         groups = components(candidate_edges(members, size, num, den, buckets))
         grouped = members.join(groups, F.col("_d1") == F.col("node")).select("_id", "_t", "_n", F.col("component").alias("_comp"))
         linked = components(links(grouped, size, num, den, buckets, chunk))
