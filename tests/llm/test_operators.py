@@ -305,6 +305,20 @@ def test_components(spark):
     assert got == {i: i // 20 * 20 for i in range(60)} | {i: 100 for i in range(100, 150)}
 
 
+def test_steps_of_few_edges_are_one_task(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1 + i % 3) for i in range(0, 400) if i % 20 < 17], "a long, b long")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [components.components(edges)]
+        monkeypatch.setattr(components, "FEW", 0)
+        got.append(components.components(edges))
+        assert got[0].rdd.getNumPartitions() == 1 < got[1].rdd.getNumPartitions()
+        assert {tuple(r) for r in got[0].collect()} == {tuple(r) for r in got[1].collect()} and got[0].count() == got[1].count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
 # ---- 4
 
 
