@@ -205,6 +205,30 @@ def test_lines_that_share_a_template_do_not_meet_pair_by_pair(spark, monkeypatch
         assert sorted(pairs) == [(a, b) for a in of for b in of if a < b and of[a] != of[b]]
 
 
+def test_lines_ruled_out_by_bitmaps_do_not_meet_their_texts(spark, monkeypatch):
+    word = lambda *of: hashlib.md5(repr(of).encode()).hexdigest()[:6]
+    # lines of 3 to 60 words at many similarities to one of eight; all of them in one band
+    r = np.random.default_rng(11)
+    texts = [" ".join(word(i % 8, j) if r.random() > (i % 15) / 40 else word(i, j) for j in range(3 + 8 * (i % 8))) for i in range(120)]
+    texts = list(dict.fromkeys(texts))
+    monkeypatch.setattr(lines, "bands_of", lambda rows, width: rows.select(F.xxhash64("_line").alias("_k"), F.lit(1).cast("long").alias("_band")))
+    asked = []
+    monkeypatch.setattr(lines, "verified", lambda pairs, *a, real=lines.verified: asked.extend((r["a"], r["b"]) for r in pairs.select("a", "b").collect()) or real(pairs, *a))
+    want = brute_classes(texts)
+    assert classes_of(spark, texts, small=1000) == want and len(set(want.values())) > 20
+    names = {r["k"]: r["i"] for r in spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", F.xxhash64("t").alias("k")).collect()}
+    asked, sets = {tuple(sorted((names[a], names[b]))) for a, b in asked}, [line_set(x) for x in texts]
+    share = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in range(len(texts)) for i in range(j)}
+    assert {p for p, x in share.items() if x >= 0.8} <= asked and len(asked) < 1.5 * sum(x >= 0.7 for x in share.values())
+
+
+def test_a_sieve_holds_its_keys_and_few_others(spark):
+    keys = spark.range(0, 3000, 3).selectExpr("id * 7919 as _key")
+    held = lines.sieve(keys, "_key", 1000)
+    left = {r["k"] for r in spark.range(30000).selectExpr("id * 7919 as k").filter(held("k")).collect()}
+    assert {3 * i * 7919 for i in range(1000)} <= left and len(left) < 1000 + 0.2 * 29000
+
+
 def test_lines_by_every_character(spark, docs):
     apart = ["https://a.org/x", "https://a.org/y", "2024-01-01T10:00", "2024-01-01T11:00", "Andththwhwh.", "Andththwhes.", "今日は天気がとても良いので散歩に行きます", "今日は天気がとても良くないので家にいます", "https://example.com/pricing-for-teams", "https://elsewhere.org/terms"]
     got = lines.drop_lines(spark.createDataFrame(list(enumerate(apart)), "doc_id long, text string")).collect()
