@@ -533,6 +533,19 @@ def test_edit_matches_is_the_longest_common_subsequence():
         assert chaining.edit_matches(a, b) == best[-1][-1]
 
 
+def test_passages_leave_no_steps_behind(spark, monkeypatch):
+    word = lambda *of: hashlib.md5(repr(of).encode()).hexdigest()[:6]
+    texts = [" ".join(word(0 if 20 <= j < 100 else i, j) for j in range(140)) for i in range(3)]
+    made = []
+    monkeypatch.setattr(chaining, "stash", lambda df, real=chaining.stash: made.append(real(df)) or made[-1])
+    got = chaining.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    fs = spark._jvm.org.apache.hadoop.fs.Path
+    there = [(p := fs(x.stashed)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) for x in made]
+    # seeds' matches, first chains and the rest's matches are gone; what the result reads is there
+    assert there == [False, False, True, False, True, True]
+    assert {(r["_id"], r["_ref"], r["_start"], r["_end"]) for r in got.collect()} >= {(1, 0, 20, 100)}
+
+
 def test_passages_odd(odd, empty):
     got = {(r["_id"], r["_ref"], r["_start"], r["_end"]) for r in chaining.passages(odd.withColumns({"_id": F.lit(1), "_doc": F.lit(2), "_t": F.lit("x")})).collect()}
     assert got == {(5, 4, 0, 6000)} and chaining.passages(empty).count() == 0
