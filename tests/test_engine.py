@@ -226,3 +226,22 @@ def test_pointers_and_values_as_text(spark):
     # four bytes can't hold it: the pointer of another place would be worse than none
     with pytest.raises(Exception, match="over 4 bytes"):
         spark.createDataFrame([(7, 2**32, 1)], "l bigint, o bigint, f bigint").select(codec.encode_pointer(*cols)).collect()
+
+
+def test_bloom_probe_moves_a_row_a_key(spark, sf):
+    from tidelog.plans import registry
+
+    keys = spark.createDataFrame([(k,) for k in [*range(0, 3000, 3), 3, 3, None]], "key bigint")
+    n, hashes = 9000, 6
+    turned = lambda h: ((h >> 17) + (h << 15)) % 2**32
+    places = lambda k: {(h + i * turned(h)) % 2**32 % n for h in [k * 2654435761 % 2**32] for i in range(hashes)}
+    held = set().union(*(places(k) for k in range(0, 3000, 3)))
+    words = sketch.bloom_words(keys.dropna(), hashes, F.lit(n))
+    assert words.count() <= n // 64 + 1 and {r["pos"] for r in sketch.bloom_build(keys.dropna(), hashes, F.lit(n)).collect()} == held
+    asked = spark.range(4000).select(F.col("id").alias("key")).unionByName(keys)
+    for built in (words, sketch.bloom_build(keys.dropna(), hashes, F.lit(n))):
+        got = {r["key"]: r["may_contain"] for r in sketch.bloom_probe(asked, built, hashes, F.lit(n)).collect()}
+        assert got == {k: places(k) <= held for k in range(4000)} | {None: False}
+    # a key's positions are not rows of one table, which a sort and a count by key would hold in memory
+    plan = registry.QUERIES["bloom_probe"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("ShuffledHashJoin") == hashes

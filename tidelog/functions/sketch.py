@@ -25,23 +25,47 @@ def surrogate_hash(key: Column) -> Column:
     return F.pmod(key * F.lit(2654435761), F.lit(1 << 32))
 
 
-def positions(key: Column, hashes: int, bits: Column) -> Column:
+def position(key: Column, i: Column, bits: Column) -> Column:
     """Double hashing: h + i * (h rotated right by 17), modulo 2^32 and the number of bits."""
     h = surrogate_hash(key)
     turned = F.shiftright(h, 17) + F.pmod(F.shiftleft(h, 15), F.lit(1 << 32))
-    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(F.pmod(h + i * F.pmod(turned, F.lit(1 << 32)), F.lit(1 << 32)), bits).cast("bigint"))
+    return F.pmod(F.pmod(h + i * F.pmod(turned, F.lit(1 << 32)), F.lit(1 << 32)), bits).cast("bigint")
+
+
+def positions(key: Column, hashes: int, bits: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: position(key, i, bits))
+
+
+def packed(built: DataFrame) -> DataFrame:
+    """(word, mask): positions as words of 64 bits."""
+    return built.groupBy(F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(pos & 63))")).alias("mask"))
+
+
+def bloom_words(keys: DataFrame, hashes: int, bits: Column, key: str = "key") -> DataFrame:
+    """The filter's words that have set bits; partial aggregation keeps tasks and the shuffle at their number, which is a 64th of the bits."""
+    return packed(keys.select(F.explode(positions(F.col(key), hashes, bits)).alias("pos")))
 
 
 def bloom_build(keys: DataFrame, hashes: int, bits: Column, key: str = "key") -> DataFrame:
-    """Distinct set bits; partial aggregation keeps the shuffle at the size of the filter."""
-    return keys.select(F.explode(positions(F.col(key), hashes, bits)).alias("pos")).distinct()
+    """Distinct set bits."""
+    places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(F.col("mask"), i) == 1)
+    return bloom_words(keys, hashes, bits, key).select("word", F.explode(places).alias("_i")).select((F.shiftleft("word", 6) + F.col("_i")).alias("pos"))
 
 
 def bloom_probe(keys: DataFrame, built: DataFrame, hashes: int, bits: Column, key: str = "key") -> DataFrame:
-    """Keys whose positions are all set."""
-    probe = keys.select(key, F.explode(F.array_distinct(positions(F.col(key), hashes, bits))).alias("pos"))
-    seen = probe.join(built.withColumn("_set", F.lit(1)), "pos", "left")
-    return seen.groupBy(key).agg((F.count("_set") == F.count(F.lit(1))).alias("may_contain"))
+    """Keys whose positions are all set; ``built`` holds positions, or words as of ``bloom_words``.
+
+    Each position in turn is looked up by a row a key. The words of a task are its hash table, so that keys stream by
+    and need not be sorted; keys already known to miss are spread over the tasks and meet no word.
+    """
+    words = (built if "mask" in built.columns else packed(built)).hint("shuffle_hash")
+    rows = keys.select(key, bits.alias("_bits"), F.lit(True).alias("may_contain")).dropDuplicates([key])
+    for i in range(hashes):
+        pos = position(F.col(key), F.lit(i), F.col("_bits"))
+        asked = rows.withColumn("_word", F.when(F.col("may_contain"), F.shiftright(pos, 6)).otherwise(-1 - F.pmod(F.xxhash64(key), F.lit(1 << 32))))
+        there = F.getbit(F.col("mask"), pos.bitwiseAND(F.lit(63)).cast("int")) == 1
+        rows = asked.join(words, F.col("_word") == F.col("word"), "left").select(key, "_bits", (F.col("may_contain") & F.coalesce(there, F.lit(False))).alias("may_contain"))
+    return rows.select(key, "may_contain")
 
 
 def frequency(log: DataFrame, key: str = "key") -> DataFrame:
