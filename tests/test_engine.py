@@ -245,3 +245,25 @@ def test_bloom_probe_moves_a_row_a_key(spark, sf):
     # a key's positions are not rows of one table, which a sort and a count by key would hold in memory
     plan = registry.QUERIES["bloom_probe"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("ShuffledHashJoin") == hashes
+
+
+def test_cache_replay_works_out_hashes_by_batch(spark):
+    import numpy as np
+
+    from tidelog.functions import cache
+
+    keys = np.array([0, 1, -1, 2**62, -(2**63), 77], np.int64)
+    n = cache.Counters(100)
+    assert n.places_of(keys) == [n.places(k) for k in keys.tolist()]
+    # replayed in steps, as it was before, with every key's hashes by itself
+    r = random.Random(9)
+    log = [(min(int(r.expovariate(0.02)), 400), i, r.choice(["get", "get", "get", "set", "del"])) for i in range(3000)]
+    one, want = cache.Cache(40), []
+    for key, seq, op in log:
+        part = one.get(key) if op == "get" else None
+        gone = one.set(key) if op != "del" and part is None else None
+        want.append((key, seq, op, one.delete(key) if op == "del" else part is not None, part, gone))
+    rows = spark.createDataFrame(log, "key bigint, seq bigint, op string")
+    assert sorted(map(tuple, cache.replay(rows, 40, shards=1).collect()), key=lambda x: x[1]) == want
+    with pytest.raises(Exception, match="a key is missing"):
+        cache.replay(spark.createDataFrame([(None, 1)], "key bigint, seq bigint"), 40).collect()
