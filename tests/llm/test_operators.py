@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, an exact round trip or held-out labels, and on odd tables."""
 
+import collections
 import hashlib
 import math
 import re
@@ -713,3 +714,33 @@ def test_quality_workers_give_memory_back(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a few words"]})
     assert [b.num_rows for b in quality._count(iter([batch, batch]), "text", ["doc_id"], "_stats")] == [1, 1] and freed == [1]
     assert not list(quality._count(iter([]), "text", ["doc_id"], "_stats")) and len(freed) == 2
+
+
+def test_prefixes_of_large_groups_are_found_where_the_lines_are(spark):
+    texts = [" ".join(hashlib.md5(f"{i // 2} {j}".encode()).hexdigest()[:6] for j in range(60)) for i in range(40)]
+    rows = lines.stash(spark.createDataFrame([(i, x) for i, x in enumerate([*texts, *(f"{i} of one template, {'x' * 40}" for i in range(60))])], "_k long, _line string"))
+    keys = rows.filter("_k % 4 < 3").select(F.col("_k").alias("_key"))
+    n = keys.count()
+    lists = lines.rarest(rows, keys, lines.sieve(keys, "_key", n), 9, 8, 10, n)
+    got = {}
+    for r in lists.collect():
+        got.setdefault(r["_k"], {})[r["_pos"]] = r["_tok"]
+    sets = {r["_k"]: set(r["_set"]) for r in rows.filter("_k % 4 < 3").select("_k", F.array_distinct(lines.hashes_of("_line", 9)).alias("_set")).collect()}
+    times = collections.Counter(t for s in sets.values() for t in s)
+    length = {k: len(s) - math.ceil(len(s) * 0.8) + 1 for k, s in sets.items()}
+    assert set(got) <= set(sets) and all(set(got[k].values()) <= sets[k] and max(got[k]) < length[k] for k in got)
+    # what lines that are similar need: a token in common, of those kept
+    assert all(set(got[k].values()) & set(got[k + 1].values()) for k in range(0, 40, 4))
+    # the rarest come first, but for tokens that share a place; tokens of one line are hardly sent
+    assert all(times[got[k][0]] <= 2 for k in range(0, 40, 4)) and sum(times[t] == 1 for g in got.values() for t in g.values()) < 0.02 * sum(length.values())
+    # of all tokens no rows are shuffled: lines go to tasks as texts, and only then have tokens
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "hashpartitioning(_k" in plan and "hashpartitioning(_tok" not in plan
+
+
+def test_line_steps_leave_few_tables(spark, monkeypatch):
+    gone = []
+    monkeypatch.setattr(lines, "drop", lambda df, real=lines.drop: gone.append(df) or real(df))
+    texts = [" ".join(hashlib.md5(f"{j if (i + 7 * j) % 40 >= 7 else (i, j)}".encode()).hexdigest()[:6] for j in range(40)) for i in range(60)]
+    assert classes_of(spark, [*texts, *(x + " end" for x in texts[::9])], small=2) == brute_classes([*texts, *(x + " end" for x in texts[::9])])
+    assert len(gone) > 3
